@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A-Z to a-z in bytes; other bytes stay.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _own_folder: list[str] = []
+_shipped: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,6 +40,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def arrow_map(df: DataFrame, function: Callable, schema: object) -> DataFrame:
+    """`df.mapInArrow`, after sending this package's code to the executors once per application."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent.parent
+        target = Path(tempfile.mkdtemp(prefix="millrace-code-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(target))
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(function, schema)
+
+
 def md5_number(value: Column) -> Column:
     """60 bits of an md5 as a bigint; any SQL engine can compute the same."""
     return F.conv(F.substring(F.md5(value), 1, 15), 16, 10).cast("bigint")

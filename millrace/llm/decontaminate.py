@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, text_bytes, written
+from .common import LOWER, arrow_map, text_bytes, written
 
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
@@ -129,7 +129,7 @@ def annotate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, limit: int
                 columns = batch.columns[:-4] + [pa.array(n_words, pa.int64()), pa.array(all_hits, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-        out = out.mapInArrow(run, schema)
+        out = arrow_map(out, run, schema)
         if k + 1 < len(passes):
             out = written(out, "decontaminate")
     return out
@@ -163,7 +163,7 @@ def hit_spans(docs: DataFrame, bench: DataFrame) -> DataFrame:
             rows = [(r["doc_id"], s, e, r["text"][s:e]) for r in batch.to_pylist() for s, e in spans_of(r["text"].encode(), set(r["__hits"]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "start", "end", "match"])
 
-    return hit.mapInArrow(run, "doc_id bigint, start bigint, end bigint, match string")
+    return arrow_map(hit, run, "doc_id bigint, start bigint, end bigint, match string")
 
 
 _UPPER, _LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, secret_scan, sharding
+from . import decontaminate, language_id, mixing, secret_scan, sharding, token_ids, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,9 +32,27 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_decontaminate, op6_mixing, op7_secret_scan)}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.write_and_index(_table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(_table(spark, sf_dir, "pages"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_decontaminate, op3_language_id, op4_warc, op6_mixing, op7_secret_scan, op9_token_ids, op10_topk)}
 ORACLE: dict[str, str] = {
     "op1_sharding": sharding.ORACLE_SQL,
     "op2_decontaminate": decontaminate.ORACLE_SQL,
+    "op4_warc": warc.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
+    "op10_topk": topk.ORACLE_SQL,
 }
