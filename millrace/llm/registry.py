@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, mixing, secret_scan, sharding, token_ids, topk, warc
+from . import decontaminate, language_id, mixing, near_dedup, secret_scan, sharding, token_ids, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,11 +48,16 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_decontaminate, op3_language_id, op4_warc, op6_mixing, op7_secret_scan, op9_token_ids, op10_topk)}
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_decontaminate, op3_language_id, op4_warc, op6_mixing, op7_secret_scan, op8_near_dedup, op9_token_ids, op10_topk)}
 ORACLE: dict[str, str] = {
     "op1_sharding": sharding.ORACLE_SQL,
     "op2_decontaminate": decontaminate.ORACLE_SQL,
     "op4_warc": warc.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
+    "op8_near_dedup": near_dedup.ORACLE_SQL,
     "op10_topk": topk.ORACLE_SQL,
 }
