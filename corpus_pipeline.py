@@ -1,8 +1,52 @@
-"""The corpus pipeline: stages over `documents`, each reading what the one before it wrote."""
+"""The corpus pipeline: documents whose language is identified, one of each group of near-duplicates,
+without benchmark passages, mixed to the sources' target weights, each with its shard.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir), works on all rows that the one before it left, and is written
+and read back before the next. All but the last return the columns of `documents`; the mix repeats or
+leaves out documents, and the last stage adds `shard`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from millrace.llm import decontaminate, language_id, mixing, near_dedup, sharding
+from millrace.llm.common import written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.accepted(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicated(docs)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.with_shard(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", drop_benchmark_passages),
+    ("mix", mix_sources),
+    ("shard", place_in_shards),
+]
+#: The language models can't be stated in SQL; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("stages are being added")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, mixing, near_dedup, secret_scan, sharding, token_ids, topk, warc
+from . import decontaminate, language_id, lm_score, mixing, near_dedup, secret_scan, sharding, token_ids, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,7 +52,11 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_decontaminate, op3_language_id, op4_warc, op6_mixing, op7_secret_scan, op8_near_dedup, op9_token_ids, op10_topk)}
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_decontaminate, op3_language_id, op4_warc, op5_lm_score, op6_mixing, op7_secret_scan, op8_near_dedup, op9_token_ids, op10_topk)}
 ORACLE: dict[str, str] = {
     "op1_sharding": sharding.ORACLE_SQL,
     "op2_decontaminate": decontaminate.ORACLE_SQL,
