@@ -131,6 +131,8 @@ class Model:
 def train(texts: dict[str, list[str]]) -> Model:
     """Fit on texts by language."""
     languages = sorted(texts)
+    if not languages:
+        return Model([], [], [], [], [], 0.0)
     per_language = []
     for language in languages:
         lines = [symbols(t) for t in texts[language]]
@@ -151,7 +153,7 @@ def train(texts: dict[str, list[str]]) -> Model:
                 codes, index = lower, index[first]
         per_language.append(stats)
     width = len(languages)
-    alphabet = len(np.unique(np.concatenate([s[1][0] for s in per_language]))) + 1 if width else 1
+    alphabet = len(np.unique(np.concatenate([s[1][0] for s in per_language]))) + 1
     grams, logs, contexts, backoffs = [np.zeros(0, np.uint64)], [np.zeros((0, width))], [np.zeros(0, np.uint64)], [np.zeros((0, width))]
     lower_probability = None
     for n in range(1, ORDER + 1):

@@ -234,5 +234,5 @@ pairs AS (
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING {SIMILAR[1]} * COUNT(*) >= {SIMILAR[0]} * (a.n + b.n - COUNT(*))),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
 roots AS (SELECT a AS doc_id, MIN(b) AS component_id FROM reach GROUP BY a)
-SELECT d.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
-FROM documents d JOIN sets USING (doc_id) JOIN roots USING (doc_id)"""
+SELECT d.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+FROM documents d JOIN sets USING (doc_id) JOIN roots r USING (doc_id)"""
