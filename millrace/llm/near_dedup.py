@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, arrow_map, text_bytes, written
 from .components import components
 
-WORDS = 2
+WORDS = 5
+#: What the registered query states its links by.
+QUERY_WORDS = 2
 SIMILAR = (80, 100)
 BANDS, ROWS = 24, 5
 SKETCH_LONGS = 8
@@ -226,7 +228,7 @@ _TEXT = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 ORACLE_SQL = f"""
 WITH RECURSIVE w AS (SELECT DISTINCT doc_id, regexp_extract_all({_TEXT}, '[^\\x20\\x09-\\x0D]+') AS t FROM documents),
 sets AS (
-  SELECT doc_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < {WORDS} THEN [array_to_string(t, ' ')]
+  SELECT doc_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < {QUERY_WORDS} THEN [array_to_string(t, ' ')]
     ELSE list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) END AS s FROM w),
 items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 pairs AS (

@@ -49,7 +49,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.groups(_table(spark, sf_dir, "documents"))
+    return near_dedup.groups(_table(spark, sf_dir, "documents"), near_dedup.QUERY_WORDS)
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,11 +41,11 @@ def test_sketches_estimate_similarity():
         assert abs(np.mean(off)) < 0.03
 
 
-def brute(docs):
+def brute(docs, words=2):
     sets = {}
     for i, text in docs:
         w = (text or "").lower().split()
-        sets[i] = {tuple(w[k : k + 2]) for k in range(max(1, len(w) - 1))} if w else set()
+        sets[i] = {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
     parent = {i: i for i in sets}
 
     def root(x):
@@ -62,8 +62,8 @@ def brute(docs):
     return {(i, len(sets[i]), root(i), root(i) == i) for i in ids}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_chains_of_near_copies(spark, seed):
+@pytest.mark.parametrize("seed,size", [(1, 2), (2, 5)])
+def test_chains_of_near_copies(spark, seed, size):
     """Neighbours in a chain are similar, its ends aren't; buckets hold members that don't match their centre."""
     rng = random.Random(seed)
     docs, at = [], 0
@@ -74,8 +74,8 @@ def test_chains_of_near_copies(spark, seed):
             at += 1
             for _ in range(rng.choice([1, 4, 6])):
                 words[rng.randrange(120)] = f"n{rng.randrange(3000)}"
-    rows = n.groups(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
-    assert {tuple(r) for r in rows} == brute(docs)
+    rows = n.groups(spark.createDataFrame(docs, "doc_id bigint, text string"), size).collect()
+    assert {tuple(r) for r in rows} == brute(docs, size)
 
 
 def test_one_of_each_group_stays(spark):

@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 import fixtures
-from millrace.llm import decontaminate, language_id, mixing, sharding
+from millrace.llm import decontaminate, language_id, mixing, near_dedup, sharding
 from test_near_dedup import brute as near_brute
 
 
@@ -25,7 +25,7 @@ def test_stages(spark, tmp_path):
     model = language_id.fit(docs)
     assert ids("language_id") == Counter(r["doc_id"] for r in steps[""] if language_id.predict(model, r["text"])[2])
     assert {100, 101, 102, 103}.isdisjoint(ids("language_id"))
-    kept = {i for i, _, _, first in near_brute({(r["doc_id"], r["text"]) for r in steps["language_id"]}) if first}
+    kept = {i for i, _, _, first in near_brute({(r["doc_id"], r["text"]) for r in steps["language_id"]}, near_dedup.WORDS) if first}
     assert ids("near_dedup") == Counter(kept)
     automaton, ids_of = decontaminate.build([(b["item_id"], (b["text"] or "").encode()) for b in fixtures.BENCHMARK])
     clean = Counter()
