@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import catalog
@@ -10,7 +12,8 @@ from ..sources import catalog
 def query(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run SQL over the tables of a directory. The dialect is Spark's, a superset of
     SELECT-FROM-WHERE-GROUP BY-HAVING-ORDER BY with aliases and sub-queries in FROM."""
-    catalog.register(spark, sf_dir)
+    words = set(re.findall(r"\w+", text.lower()))
+    catalog.register(spark, sf_dir, [t for t in (*catalog.TABLES, catalog.BRIDGE) if t in words])
     return spark.sql(text)
 
 

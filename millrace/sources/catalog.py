@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+#: The derived table.
+BRIDGE = "partsupplier"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +24,13 @@ def partsupplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("ps_availqty"))
 
 
-def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES) -> None:
+def register(spark: SparkSession, sf_dir: str, names: Iterable[str] = (*TABLES, BRIDGE)) -> None:
     """Make the tables, and the derived bridge, visible to `spark.sql` as temporary views."""
     for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    if "lineitem" in names:
-        partsupplier(spark, sf_dir).createOrReplaceTempView("partsupplier")
+        if name != BRIDGE:
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
+    if BRIDGE in names:
+        partsupplier(spark, sf_dir).createOrReplaceTempView(BRIDGE)
 
 
 def describe(df: DataFrame, unique: tuple[str, ...] = ()) -> dict[str, dict]:
