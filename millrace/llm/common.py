@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A-Z to a-z in bytes; other bytes stay.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 _own_folder: list[str] = []
 _shipped: set[str] = set()
 
@@ -41,8 +42,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, function: Callable, schema: object) -> DataFrame:
-    """`df.mapInArrow`, after sending this package's code to the executors once per application."""
-    context = df.sparkSession.sparkContext
+    """`df.mapInArrow`, after sending this package's code to the executors once per application.
+
+    Also lowers the session's rows per Arrow batch to `BATCH_ROWS`, as rows are whole texts here.
+    """
+    conf, context = df.sparkSession.conf, df.sparkSession.sparkContext
+    if not 0 < int(conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parent.parent
         target = Path(tempfile.mkdtemp(prefix="millrace-code-")) / f"{package.name}.zip"
