@@ -2,11 +2,11 @@
 
 A document's set is its distinct shingles of `WORDS` words. Documents with equal sets form a class, and
 from then on only classes are compared. A class has `BANDS * ROWS` MinHash samples: ROWS in a row make
-a band's key, and classes that share a key are candidates. The samples are also folded into an odd
-sketch: sample i flips one bit, chosen by a hash of i and its value, so two sketches differ in about
+a band's key, and classes that share a key are candidates. Up to SAMPLES further samples are folded into
+an odd sketch: each flips one bit, chosen by a hash of its range and value, so two sketches differ in
 two bits for each sample that differs, and the population count of their XOR estimates the similarity.
-Candidates whose sketches differ in more bits than any similar pair's would are dropped, and the
-rest are compared on their full sets.
+A second sketch takes all items as samples, which is more precise for small sets. Candidates whose
+sketches differ in more bits than similar pairs' do are dropped, and the rest are compared on full sets.
 
 A bucket's members aren't all paired. First each is compared with the bucket's smallest member, and
 components are formed. Then only pairs that are still in different components are compared, and the
@@ -22,6 +22,7 @@ document; rows with a null id are linked with nothing and kept; no rows give no
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,18 +39,23 @@ WORDS = 5
 QUERY_WORDS = 2
 SIMILAR = (80, 100)
 BANDS, ROWS = 24, 5
-SKETCH_LONGS = 8
+SAMPLES = 512
+SKETCH_LONGS = 16
 SKETCH_BITS = 64 * SKETCH_LONGS
-#: Differing bits beyond which a pair's similarity is below 0.8 but for one in a million pairs.
-MAX_BITS = 100
-CACHE_WORDS = 400_000
+DEVIATIONS = 5.0
+WHOLE_TABLE = 1 << 13
+#: Texts to compare are chosen by a broadcast of up to this many ids of 8 bytes, else by a shuffled join.
+BROADCAST_IDS = 500_000
+#: Sizes within a level differ by less than this factor; similar sets' sizes by at most 100 / 80.
+LEVEL = 1.26
+CACHE_WORDS = 200_000
 CHUNK = 1 << 12
 _RNG = np.random.default_rng(8)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _BAND = _RNG.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SAMPLE = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
+SAMPLED, WHOLE = [f"s{i}" for i in range(SKETCH_LONGS)], [f"t{i}" for i in range(SKETCH_LONGS)]
+SKETCHES = SAMPLED + WHOLE
 _words: dict[bytes, int] = {}
 
 
@@ -95,15 +101,53 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return _mix(mixed.sum(axis=1, dtype=np.uint64) + _BAND[:, 0]).view(np.int64)
 
 
-def odd_sketch(values: np.ndarray) -> np.ndarray:
-    at = (_mix(values ^ _SAMPLE) % np.uint64(SKETCH_BITS)).astype(np.int64)
+def _folded(values: np.ndarray) -> np.ndarray:
+    at = (_mix(values) % np.uint64(SKETCH_BITS)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def estimate(differing_bits: int) -> float:
-    """The similarity that sketches which differ in so many bits suggest."""
-    share = min(2 * differing_bits / SKETCH_BITS, 1 - 1e-9)
-    return 1 + SKETCH_BITS / (4 * BANDS * ROWS) * float(np.log1p(-share))
+def whole_sketch(items: np.ndarray) -> np.ndarray:
+    """The odd sketch with every item a sample: precise for sets of up to a few thousand items."""
+    return _folded(items + _A[1])
+
+
+def odd_sketch(items: np.ndarray) -> tuple[int, np.ndarray]:
+    """(number of samples, sketch as longs). Samples are the least hash in each of SAMPLES ranges of hashes
+    (one-permutation MinHash), so a set that is much smaller is sampled nearly whole."""
+    ordered = np.sort(_mix(items * _A[0] + _B[0]))
+    ranges = ordered >> np.uint64(64 - SAMPLES.bit_length() + 1)
+    least = ordered[np.concatenate([[True], ranges[1:] != ranges[:-1]])]
+    return len(least), _folded(least)
+
+
+def estimate(differing_bits: int, samples_of_both: int) -> float:
+    """The similarity that sketches suggest which differ in so many bits. A range that differs flips two
+    bits, or one if it is empty in one of the sets, as most are in small sets."""
+    flips = -SKETCH_BITS / 2 * float(np.log1p(-min(2 * differing_bits / SKETCH_BITS, 1 - 1e-9)))
+    same = max(0.0, (samples_of_both - flips) / 2)
+    full = min(1.0, samples_of_both / (2 * SAMPLES))
+    return same / max(1e-9, same + flips * (1 - full / 2))
+
+
+def _bits_after(flips: float) -> int:
+    """Differing bits that so many flips exceed less than once in a million times: some bits flip twice."""
+    spread = min(flips * np.sqrt(2 / SKETCH_BITS), np.sqrt(SKETCH_BITS) / 2)
+    return int(min(flips, SKETCH_BITS / 2 * (1 - np.exp(-2 * flips / SKETCH_BITS)) + DEVIATIONS * spread))
+
+
+def most_bits(samples_of_both: int) -> int:
+    """What a pair of similarity 0.8 or more differs by, at most, in its sampled sketches.
+
+    Of e ranges in use about e / 5 differ, with the deviation of a binomial; e is at least half the
+    samples of both.
+    """
+    e, apart = samples_of_both / 2, 1 - SIMILAR[0] / SIMILAR[1]
+    return _bits_after(2 * (apart * e + DEVIATIONS * np.sqrt(apart * (1 - apart) * e)))
+
+
+def most_bits_whole(items_of_both: int) -> int:
+    """The same for whole sketches: the items that only one set has flip a bit each."""
+    return _bits_after(items_of_both * (SIMILAR[1] - SIMILAR[0]) // (SIMILAR[1] + SIMILAR[0]))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -114,38 +158,44 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def features(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n (size of the set), h1 and h2 (a hash of the set), bands, s0 to s7 (the sketch)."""
+    """doc_id, n (size of the set), h1 and h2 (a hash of the set), bands, samples, s0 to s15 and t0 to t15 (sketches)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, hashes, bands, sketches = [], [], [], []
+            n, hashes, bands, counts, sketches = [], [], [], [], []
             for text in batch["text"]:
                 items = shingles(text.as_buffer().to_pybytes(), words)
                 n.append(len(items))
                 hashes.append(np.frombuffer(hashlib.blake2b(items.tobytes(), digest_size=16).digest(), dtype=np.int64))
-                values = samples(items) if len(items) else None
-                bands.append(band_keys(values) if len(items) else np.zeros(0, dtype=np.int64))
-                sketches.append(odd_sketch(values) if len(items) else np.zeros(SKETCH_LONGS, dtype=np.int64))
-            longs = np.concatenate([np.array(hashes).reshape(-1, 2), np.array(sketches).reshape(-1, SKETCH_LONGS)], axis=1)
+                bands.append(band_keys(samples(items)) if len(items) else np.zeros(0, dtype=np.int64))
+                count, sketch = odd_sketch(items) if len(items) else (0, np.zeros(SKETCH_LONGS, dtype=np.int64))
+                counts.append(count)
+                sketches.append(np.concatenate([sketch, whole_sketch(items)]))
+            longs = np.concatenate([np.array(hashes).reshape(-1, 2), np.array(sketches).reshape(-1, 2 * SKETCH_LONGS)], axis=1)
             offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands) if bands else np.zeros(0, dtype=np.int64)))
             h1, h2, *sketch = [pa.array(c) for c in longs.T]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), h1, h2, lists, *sketch], names=names)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), h1, h2, lists, pa.array(counts, pa.int32()), *sketch], names=names)
 
-    names = ["doc_id", "n", "h1", "h2", "bands", *SKETCH]
+    names = ["doc_id", "n", "h1", "h2", "bands", "samples", *SKETCHES]
     texts = docs.select(F.col("doc_id").cast("bigint"), text_bytes().alias("text"))
-    schema = "doc_id bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>, " + ", ".join(f"{s} bigint" for s in SKETCH)
+    schema = "doc_id bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>, samples int, " + ", ".join(f"{s} bigint" for s in SKETCHES)
     return arrow_map(texts, run, schema)
 
 
-def _differing(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"{a}.{SKETCH[0]}").bitwiseXOR(F.col(f"{b}.{SKETCH[0]}"))))
+def _differing(a: str, b: str, sketch: list[str]) -> Column:
+    counts = [F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in sketch]
+    return sum(counts[1:], counts[0])
 
 
 def _close(a: str, b: str) -> Column:
-    """What two sketches and set sizes leave possible."""
+    """What set sizes and sketches leave possible."""
+    both = lambda c: F.col(f"{a}.{c}") + F.col(f"{b}.{c}")
     sizes = SIMILAR[1] * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= SIMILAR[0] * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    return sizes & (_differing(a, b) <= MAX_BITS)
+    # Beyond the table's end a whole sketch is full and tells nothing.
+    whole = F.coalesce(F.get(F.lit([most_bits_whole(k) for k in range(WHOLE_TABLE)]), both("n").cast("int")), F.lit(SKETCH_BITS))
+    sampled = F.get(F.lit([most_bits(k) for k in range(2 * SAMPLES + 1)]), both("samples"))
+    return sizes & (_differing(a, b, WHOLE) <= whole) & (_differing(a, b, SAMPLED) <= sampled)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -163,7 +213,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
 
     # The centre is b: its text is joined last, and its rows of a partition arrive together.
     nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(docs.select(F.col("doc_id").cast("bigint"), text_bytes().alias("text")).join(nodes, "doc_id"), "near-texts")
+    texts = written(_chosen(docs.select(F.col("doc_id").cast("bigint"), text_bytes().alias("text")), "doc_id", nodes), "near-texts")
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeated(texts) else texts
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -175,20 +225,34 @@ def _repeated(texts: DataFrame) -> bool:
     return not texts.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
+def _chosen(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in a table of distinct ids (one column)."""
+    ids = written(ids.toDF("__id"), "near-ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return df.join(ids, F.col(column) == F.col("__id"), "left_semi")
+
+
+def _sketches(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n, samples and sketches of the given nodes, one row each."""
+    columns = ["n", "samples", *SKETCHES]
+    some = _chosen(rows.where("n > 0").select(F.col("doc_id").alias("node"), *columns), "node", nodes)
+    return written(some.groupBy("node").agg(*[F.first(c).alias(c) for c in columns]), "near-sketches")
+
+
 def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     rows = written(features(docs, words), "near-features")
     set_key = ["n", "h1", "h2"]
     classes = written(
         rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*set_key)
-        .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in SKETCH]),
+        .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")),
         "near-classes",
     )
-    sketches = classes.select("node", "n", *SKETCH)
     members = classes.select("node", F.explode("bands").alias("key"))
     buckets = written(members.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
     crowded = written(members.join(buckets, "key"), "near-members")
     stars = crowded.where("node <> centre").select("node", "centre").distinct()
+    sketches = _sketches(rows, crowded.select("node").distinct())
     stars = stars.alias("p").join(sketches.alias("x"), F.col("p.node") == F.col("x.node"))
     stars = stars.join(sketches.alias("y"), (F.col("p.centre") == F.col("y.node")) & _close("x", "y"))
     links = _verified(written(stars.select(F.col("p.node").alias("a"), F.col("p.centre").alias("b")), "near-stars"), docs, words)
@@ -198,10 +262,14 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     placed = crowded.where("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.mode("component").alias("main"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     placed = written(placed.join(mixed.select("key", "main"), "key").join(sketches, "node"), "near-mixed")
-    x, y = placed.where("component <> main").alias("x"), placed.alias("y")
+    # Sets of similar size are on the same or neighbouring levels, so a level is part of the join's key.
+    level = F.floor(F.log(F.col("n")) / math.log(LEVEL)).cast("int")
+    placed = placed.withColumn("level", level)
+    near = F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level")
+    x, y = placed.where("component <> main").select(*[c for c in placed.columns if c != "level"], near).alias("x"), placed.alias("y")
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
     unseen = (F.col("x.node") != F.col("x.centre")) & (F.col("y.node") != F.col("y.centre"))
-    late = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & unseen & _close("x", "y"))
+    late = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.level") == F.col("y.level")) & apart & unseen & _close("x", "y"))
     late = written(late.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "near-late")
     if not late.isEmpty():
         links = links.unionByName(_verified(late, docs, words))

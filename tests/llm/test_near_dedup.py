@@ -25,20 +25,29 @@ def test_components(spark):
     assert {x: c for x, c in got.items()} == {x: root(x) for x in parent if x in got} and set(parent) - set(got) <= loops
 
 
-def test_sketches_estimate_similarity():
+@pytest.mark.parametrize("size", [60, 400, 5000])
+def test_sketches_estimate_similarity(size):
     rng = np.random.default_rng(1)
     for share in (0.8, 0.9, 0.97):
         off = []
-        for _ in range(40):
-            size = 400
-            same = int(round(share * 2 * size / (1 + share)))
+        for _ in range(60):
+            same = int(np.ceil(share * 2 * size / (1 + share)))
             items = rng.integers(0, 1 << 63, 2 * size, dtype=np.uint64)
             a, b = np.sort(items[:size]), np.sort(np.concatenate([items[:same], items[size : 2 * size - same]]))
-            x, y = n.odd_sketch(n.samples(a)), n.odd_sketch(n.samples(b))
+            (m, x), (k, y) = n.odd_sketch(a), n.odd_sketch(b)
             bits = int(np.unpackbits((x ^ y).view(np.uint8)).sum())
-            assert bits <= n.MAX_BITS
-            off.append(n.estimate(bits) - share)
-        assert abs(np.mean(off)) < 0.03
+            assert bits <= n.most_bits(m + k)
+            assert int(np.unpackbits((n.whole_sketch(a) ^ n.whole_sketch(b)).view(np.uint8)).sum()) <= n.most_bits_whole(2 * size)
+            off.append(n.estimate(bits, m + k) - share)
+        assert abs(np.mean(off)) < 0.06
+
+
+def test_sketches_tell_half_similar_sets_apart():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        items = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
+        (m, x), (k, y) = n.odd_sketch(np.sort(items[:400])), n.odd_sketch(np.sort(items[200:]))
+        assert int(np.unpackbits((x ^ y).view(np.uint8)).sum()) > n.most_bits(m + k)
 
 
 def brute(docs, words=2):
