@@ -36,7 +36,10 @@ SCALE = 256
 QUERY_BLOCK = 4096
 #: Vectors for the rotation, and the longest ones for the first thresholds.
 SAMPLE = 4096
-CANDIDATE_BLOCK = 2048
+CANDIDATE_BLOCK = 1024
+#: One in so many pairs of a block must survive for a matrix product to be cheaper than single products.
+DENSE = 64
+PAIRS = 1 << 16
 #: Share of the squared length that the leading coordinates should hold, and their share of all at most.
 LEADING, LEADING_SHARE = 0.8, 0.5
 #: Relative rounding error that bounds allow for.
@@ -82,6 +85,19 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([min(max(sum(int(x) * int(y) for x, y in zip(r, s)), low), high) for r, s in zip(a, b)], dtype=np.int64)
 
 
+def pair_products(q: np.ndarray, x: np.ndarray, qs: np.ndarray, xs: np.ndarray) -> np.ndarray:
+    """Exact products of the pairs (q[qs], x[xs]): by one matrix product over the rows that occur if the
+    pairs fill enough of it, else pair by pair. Sums of integers below 2**53 are exact in any order."""
+    rows, row = np.unique(xs, return_inverse=True)
+    columns, column = np.unique(qs, return_inverse=True)
+    if len(rows) and len(qs) * DENSE >= len(rows) * len(columns):
+        a, b = x[rows], q[columns]
+        if np.sqrt((a * a).sum(axis=1).max() * (b * b).sum(axis=1).max()) < EXACT / 2:
+            return (a @ b.T)[row, column].astype(np.int64)
+    parts = [exact_products(q[qs[i : i + PAIRS]], x[xs[i : i + PAIRS]]) for i in range(0, len(qs), PAIRS)]
+    return np.concatenate([np.zeros(0, dtype=np.int64), *parts])
+
+
 def rotation(sample: np.ndarray) -> tuple[np.ndarray, int]:
     """(orthogonal matrix, number of leading coordinates)."""
     dim = sample.shape[1]
@@ -118,13 +134,10 @@ class Search:
         qs = open_queries[qs]
         other = self.ids[qs] != ids[xs]
         qs, xs = qs[other], xs[other]
-        found = [self.best]
-        for first in range(0, len(qs), 1 << 16):
-            a, b = qs[first : first + (1 << 16)], xs[first : first + (1 << 16)]
-            found.append(np.column_stack([a, exact_products(self.q[a], x[b]), ids[b]]))
-            if len(found) > 16:
-                found = [self._top(np.concatenate(found))]
-        self.best = self._top(np.concatenate(found))
+        scores = pair_products(self.q, x, qs, xs)
+        good = scores >= self.threshold[qs]
+        rows = np.column_stack([qs[good], scores[good], ids[xs[good]]])
+        self.best = self._top(np.concatenate([self.best, rows]))
         full = np.flatnonzero(np.bincount(self.best[:, 0], minlength=len(self.q)) >= self.k)
         last = np.searchsorted(self.best[:, 0], full, "right") - 1
         self.threshold[full] = np.maximum(self.threshold[full], self.best[last, 1])
