@@ -2,8 +2,8 @@
 
 Every text is encoded whole with a given tokenizer and ends with the end id. The ids of all documents,
 in ascending order of doc_id, are cut into files, and a file's ids into blocks of `BLOCK`. A block
-stores its minimum, and each id's distance from it in as many bits as the `PERCENTILE` of the
-distances needs; ids that need more go to the block's exception list. The file's header indexes the
+stores its minimum, and each id's distance from it in as many bits as one of the `PERCENTILES` of
+the distances needs, the one that makes the block smallest; ids that need more go to its exception list. The file's header indexes the
 documents and the blocks' starts, so any document can be read alone.
 
 File: magic, counts (documents, ids, blocks; the file's number and its length), document ids, nulls among them, lengths, block
@@ -21,6 +21,7 @@ separate documents; an empty table gives no file and no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -29,6 +30,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,17 +38,24 @@ from pyspark.sql import types as T
 from .common import arrow_map, shared_path, text_bytes, written
 
 END_ID = 2
-BLOCK = 256
-PERCENTILE = 0.9
+BLOCK = 1024
+PERCENTILES = (0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
+EXCEPTION_BITS = 48
 #: Bytes of input for each file.
-FILE_BYTES = 16 << 20
+FILE_BYTES = 4 << 20
 MAGIC = b"PFORIDS1"
 HEADER = struct.Struct("<8sQQQQQ")
 BLOCK_HEADER = 7
-#: Words whose ids a worker remembers; then it starts afresh.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers.
+CACHE_WORDS = 300_000
+LINE_WORDS = 1000
+PUNCTUATION = ".,;:!?"
+#: Latin letters that lower-casing turns into letters.
+LATIN = r"^[a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+$"
+#: The part of a pre-tokenizer's pattern that keeps letters, and what is neither letter nor digit, together.
+SPLIT_PATTERN = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 SEPARATOR = "\nEND\n"
-_STEP = 2048
+_STEP = 256
 
 
 def default_tokenizer() -> str:
@@ -56,10 +65,12 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Encodes texts word by word, remembering words.
+    """Encodes texts word by word, remembering words; splitting and numbering words is Arrow's work.
 
     Sound for tokenizers whose words never span ASCII white space and that drop it, as this one's
-    normaliser and pre-tokenizer do: a text's ids are then its words' ids in a row.
+    normaliser and pre-tokenizer do: a text's ids are then its words' ids in a row. If the tokenizer
+    also lower-cases and splits letters from punctuation, a Latin word and the punctuation
+    after it are looked up apart, so that fewer distinct words need encoding.
     """
 
     def __init__(self, definition: str):
@@ -67,31 +78,88 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.starts = np.zeros(1, dtype=np.int64)
-        self.flat = np.zeros(0, dtype=np.uint32)
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        parsed = json.loads(definition)
+        self.parts = "Lowercase" in str(parsed["normalizer"]) and SPLIT_PATTERN in str(parsed["pre_tokenizer"])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        #: Ids of words and parts, as bytes; the older half is dropped when the newer is full.
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Words that are one pre-token each: encoded in lines, which end-of-word ids take apart."""
+        out: list[bytes] = []
+        for first in range(0, len(words), LINE_WORDS):
+            some = words[first : first + LINE_WORDS]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):
+                out += self._encode_words(some)
+                continue
+            raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+            out += [raw[s:e] for s, e in zip(at, at[1:])]
+        return out
+
+    def _ids_of(self, words: list[str], letters: np.ndarray) -> list[bytes]:
+        """The ids of distinct words; `letters` marks those of Latin letters alone."""
+        newer, older = self.newer, self.older
+        if len(newer) > CACHE_WORDS // 2:
+            newer, older = self.newer, self.older = {}, newer
+        found = [newer.get(w) for w in words]
+        missing = []
+        for k, w in enumerate(words):
+            if found[k] is None:
+                if (ids := older.get(w)) is None:
+                    missing.append(k)
+                else:
+                    found[k] = newer[w] = ids
+        for encode, some in ((self._encode_letters, [k for k in missing if letters[k]]), (self._encode_words, [k for k in missing if not letters[k]])):
+            new = [words[k] for k in some]
+            for k, w, ids in zip(some, new, encode(new)):
+                found[k] = newer[w] = ids
+        return found
+
+    def encode(self, texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, each with the end id; ids per text)."""
-        words = [t.split() for t in texts]
-        if len(self.number) > CACHE_WORDS:
-            self._forget()
-        number = self.number
-        new = list({w for ws in words for w in ws if w not in number})
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-            number.update(zip(new, range(len(number), len(number) + len(new))))
-            lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(lengths.sum()))])
-        which = np.fromiter((number[w] for ws in words for w in ws), dtype=np.int64, count=sum(map(len, words)))
-        sizes = self.starts[which + 1] - self.starts[which]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[which] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([len(ws) for ws in words], dtype=np.int64)] if words else np.zeros(0, dtype=np.int64)
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.binary())
+        lists = pc.ascii_split_whitespace(texts.cast(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        words, which = coded.dictionary, coded.indices.to_numpy()
+        if self.parts:
+            core = pc.utf8_rtrim(words, characters=PUNCTUATION)
+            lower = pc.ascii_lower(core)
+            letters = pc.match_substring_regex(lower, LATIN)
+            keys = pc.if_else(letters, lower, words).dictionary_encode()
+            key_of = keys.indices.to_numpy()
+            alone = np.zeros(len(keys.dictionary), dtype=bool)
+            alone[key_of] = letters.to_numpy(zero_copy_only=False)
+            cut = pc.if_else(letters, pc.binary_length(core), pc.binary_length(words)).to_numpy()
+            tails, tail_of = [""], np.zeros(len(words), dtype=np.int64)
+            number = {"": 0}
+            for k in np.flatnonzero(cut < pc.binary_length(words).to_numpy()).tolist():
+                tail = words[k].as_py().encode()[cut[k] :].decode()
+                if tail not in number:
+                    number[tail] = len(tails)
+                    tails.append(tail)
+                tail_of[k] = number[tail]
+            pieces = self._ids_of(keys.dictionary.to_pylist(), alone) + self._ids_of(tails, np.zeros(len(tails), dtype=bool))
+            segments = np.column_stack([key_of[which], len(alone) + tail_of[which]]).reshape(-1)
+            per_word = 2
+        else:
+            pieces, segments, per_word = self._ids_of(words.to_pylist(), np.zeros(len(words), dtype=bool)), which, 1
+        flat = np.frombuffer(b"".join(pieces), dtype="<u4")
+        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4)])
+        sizes = starts[segments + 1] - starts[segments]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = flat[np.repeat(starts[segments] - ends[:-1], sizes) + np.arange(ends[-1])]
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        bounds = ends[per_word * (offsets[1:] - offsets[0])]
         return np.insert(ids, bounds, END_ID).astype(np.uint32), np.diff(bounds, prepend=0) + 1
 
 
@@ -105,6 +173,30 @@ def _encoder(definition: str) -> Encoder:
     return _encoders[key]
 
 
+def _packed(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of BLOCK values of `width` bits each, as rows of bytes: one column of all rows at a time."""
+    words = np.zeros((BLOCK * width // 32 + 1, len(values)), dtype=np.uint64)
+    for j, column in enumerate(np.ascontiguousarray(values.T, dtype=np.uint64)):
+        word, shift = divmod(j * width, 32)
+        shifted = column << np.uint64(shift)
+        words[word] |= shifted & np.uint64(0xFFFFFFFF)
+        words[word + 1] |= shifted >> np.uint64(32)
+    return np.ascontiguousarray(words[:-1].T.astype("<u4")).view(np.uint8)
+
+
+def choose_widths(away: np.ndarray) -> np.ndarray:
+    """For each row, the cheapest of the widths that hold the PERCENTILES of its distances."""
+    n = len(away)
+    bits = np.frexp(away.astype(np.float64))[1]  # 0 for 0, else the number of bits
+    seen = np.bincount((bits + 33 * np.arange(n)[:, None]).reshape(-1), minlength=33 * n).reshape(n, 33).cumsum(axis=1)
+    best, cheapest = np.full(n, 32), np.full(n, np.iinfo(np.int64).max)
+    for share in PERCENTILES:
+        width = (seen < share * BLOCK).sum(axis=1)
+        cost = width * BLOCK + EXCEPTION_BITS * (BLOCK - seen[np.arange(n), width])
+        best, cheapest = np.where(cost < cheapest, width, best), np.minimum(cost, cheapest)
+    return best
+
+
 def pack_blocks(ids: np.ndarray) -> list[bytes]:
     """Blocks of BLOCK ids, the last one filled up with its minimum."""
     out: list[bytes] = []
@@ -115,16 +207,14 @@ def pack_blocks(ids: np.ndarray) -> list[bytes]:
         rows = part.reshape(-1, BLOCK)
         least = rows.min(axis=1)
         away = rows - least[:, None]
-        chosen = np.partition(away, int(PERCENTILE * (BLOCK - 1)), axis=1)[:, int(PERCENTILE * (BLOCK - 1))]
-        widths = np.where(chosen > 0, np.floor(np.log2(np.maximum(chosen, 1))).astype(np.int64) + 1, 0)
+        widths = choose_widths(away)
         packed: list[bytes] = [b""] * len(rows)
-        for w in np.unique(widths):
+        for w in np.unique(widths).tolist():
             index = np.flatnonzero(widths == w)
             values = away[index]
-            over = values >> np.uint32(w) != 0 if w < 32 else np.zeros(values.shape, dtype=bool)
-            bits = ((np.where(over, 0, values)[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-            body = np.packbits(bits.reshape(len(index), -1), axis=1, bitorder="little")
-            for k, i in enumerate(index):
+            over = values.astype(np.uint64) >> np.uint64(w) != 0
+            body = _packed(np.where(over, 0, values), w) if w else np.zeros((len(index), 0), dtype=np.uint8)
+            for k, i in enumerate(index.tolist()):
                 at = np.flatnonzero(over[k])
                 packed[i] = struct.pack("<IBH", least[i], w, len(at)) + body[k].tobytes() + at.astype("<u2").tobytes() + values[k][at].astype("<u4").tobytes()
         out += packed
@@ -137,20 +227,23 @@ def unpack_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     out = np.zeros((n, BLOCK), dtype=np.uint32)
     if not n:
         return out.reshape(-1)
-    raw = np.frombuffer(data, dtype=np.uint8)
-    heads = raw[starts[:-1][:, None] + np.arange(BLOCK_HEADER)]
+    base, end = int(starts[0]), int(starts[-1])
+    raw = np.frombuffer(data[base:end] + bytes(8), dtype=np.uint8)
+    offsets = (starts - base).astype(np.int64)
+    at_byte = np.ndarray(len(raw) - 7, dtype="<u8", buffer=raw, strides=(1,))  # the 8 bytes from each byte on
+    heads = raw[offsets[:-1][:, None] + np.arange(BLOCK_HEADER)]
     least = heads[:, :4].copy().view("<u4").reshape(-1)
     widths, exceptions = heads[:, 4].astype(np.int64), heads[:, 5:7].copy().view("<u2").reshape(-1)
-    bodies = starts[:-1] + BLOCK_HEADER
-    for w in np.unique(widths):
-        for some in np.array_split(index := np.flatnonzero(widths == w), ceil(len(index) / _STEP)):
-            if w:
-                bits = np.unpackbits(raw[bodies[some][:, None] + np.arange(BLOCK * w // 8)], axis=1, bitorder="little")
-                weights = (1 << np.arange(w, dtype=np.uint64)).astype(np.float64)
-                out[some] = (bits.reshape(-1, w).astype(np.float64) @ weights).astype(np.uint32).reshape(-1, BLOCK)
-    for i in np.flatnonzero(exceptions):
+    bodies = offsets[:-1] + BLOCK_HEADER
+    for w in np.unique(widths[widths > 0]).tolist():
+        bit = np.arange(BLOCK, dtype=np.int64) * w
+        index = np.flatnonzero(widths == w)
+        for first in range(0, len(index), _STEP):
+            some = index[first : first + _STEP]
+            out[some] = (at_byte[bodies[some][:, None] + bit // 8] >> (bit % 8).astype(np.uint64)) & np.uint64((1 << w) - 1)
+    for i in np.flatnonzero(exceptions).tolist():
         e, at = int(exceptions[i]), int(bodies[i] + BLOCK * widths[i] // 8)
-        out[i, np.frombuffer(data, "<u2", e, at)] = np.frombuffer(data, "<u4", e, at + 2 * e)
+        out[i, raw[at : at + 2 * e].view("<u2")] = raw[at + 2 * e : at + 6 * e].view("<u4")
     return (out + least[:, None]).reshape(-1)
 
 
@@ -209,7 +302,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, n_file
         for batch in batches:
             for first, n in _slices(batch["text"]):
                 part = batch.slice(first, n)
-                ids, lengths = encoder.encode([t.as_buffer().to_pybytes() for t in part["text"]])
+                ids, lengths = encoder.encode(part["text"])
                 kind = "<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4"
                 ends = np.concatenate([[0], np.cumsum(lengths)]) * int(kind[2])
                 raw = ids.astype(kind).tobytes()
@@ -217,16 +310,19 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, n_file
                     [part["doc_id"], part["number"], pa.array(lengths, pa.int64()), pa.array([raw[s:e] for s, e in zip(ends, ends[1:])], pa.binary()), pa.array([int(kind[2])] * n, pa.int32())],
                     names=["doc_id", "number", "n", "ids", "bytes"],
                 )
+            pa.default_memory_pool().release_unused()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: dict[int, tuple[list, list, list]] = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                doc_ids, lengths, ids = files.setdefault(r["number"], ([], [], []))
-                doc_ids.append(r["doc_id"])
-                lengths.append(r["n"])
-                ids.append(np.frombuffer(r["ids"], f"<u{r['bytes']}"))
-        for at, (doc_ids, lengths, ids) in sorted(files.items()):
+            numbers, doc_ids, lengths, widths = (batch[c].to_pylist() for c in ("number", "doc_id", "n", "bytes"))
+            for k, ids in enumerate(batch["ids"]):
+                file = files.setdefault(numbers[k], ([], [], []))
+                file[0].append(doc_ids[k])
+                file[1].append(lengths[k])
+                file[2].append(np.frombuffer(ids.as_buffer().to_pybytes(), f"<u{widths[k]}"))
+        for at in sorted(files):
+            doc_ids, lengths, ids = files.pop(at)
             yield pa.RecordBatch.from_arrays([pa.array([pack_file(at, doc_ids, np.array(lengths), np.concatenate(ids))], pa.binary())], names=["value"])
 
     texts = docs.select("doc_id", number.cast("int").alias("number"), text_bytes().alias("text"))
@@ -235,7 +331,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, n_file
     arrow_map(dealt, pack, "value binary").select(F.col("value").cast("string")).write.option("lineSep", SEPARATOR).text(path)
 
 
-def _slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Runs of rows with about `limit` bytes each."""
     first = size = 0
     for k, t in enumerate(texts):
