@@ -154,7 +154,11 @@ def mixed(docs: DataFrame, shards: int = OUTPUT_SHARDS, seed: int = SEED) -> Dat
     same_row = Window.partitionBy("__key").orderBy("__key")
     left = docs.withColumn("__key", row_key(docs)).withColumn("__nth", F.row_number().over(same_row))
     right = plan(docs, shards, seed=seed).select("__key", F.col("copies").alias("__copies"), F.row_number().over(same_row).alias("__nth")).where(F.size("__copies") > 0)
-    taken = left.join(right, ["__key", "__nth"]).withColumn("__copy", F.explode("__copies"))
+    # The second condition is no equality of columns, so the join keeps the windows' partitioning by key and
+    # texts are dealt out once.
+    right = right.withColumnsRenamed({"__key": "__row", "__nth": "__turn"})
+    pairs = left.join(right, (F.col("__key") == F.col("__row")) & (F.col("__nth") - F.col("__turn") == 0))
+    taken = pairs.withColumn("__copy", F.explode("__copies"))
     # Slices keep the partitions of a shard small; rows of a slice are in shuffled order.
     taken = taken.withColumn("__slice", F.shiftright(F.col("__copy.position"), 56))
     return taken.repartition(F.col("__copy.shard"), F.col("__slice")).sortWithinPartitions("__copy.shard", "__copy.position").select(*columns)
