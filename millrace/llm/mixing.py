@@ -3,8 +3,11 @@
 1. A source's target is its weight's share of all words, at most `MAX_REPEATS` times its size; what is
    above goes to the others by weight until none is above.
 2. A source's documents, in the order of a hash, lie end to end on a line that repeats; the mix
-   takes the line from 0 to the target. Copies that end within it are taken, and one more copy of the
-   document that best fills the rest, so the words taken miss the target by little.
+   takes the line from 0 to the target. Copies that end within it are taken. The rest, which the
+   copy that straddles the target leaves open, is filled in the same order with further copies of
+   documents that fit in it, again and again until no document fits, and then one more copy of the
+   document that best fills what is left is taken if that is nearer to the target. Without `fill`
+   (op6_mixing, as its SQL says) there is only that last copy.
 3. The line is cut into blocks of equal length; a copy belongs to the block it starts in. The exact
    numbers of blocks per source are divided among the output shards by a tree: each node deals its
    blocks to its two halves by one multivariate hypergeometric draw.
@@ -23,7 +26,7 @@ from __future__ import annotations
 from math import ceil, gcd
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, id_hash, row_key, written
@@ -88,7 +91,57 @@ def permutation(n: int, rng: np.random.Generator) -> tuple[int, int]:
     return a, int(rng.integers(0, n))
 
 
-def plan(docs: DataFrame, shards: int = OUTPUT_SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+def same(x: DataFrame, y: DataFrame, *keys: str) -> list:
+    return [x[k].eqNullSafe(y[k]) for k in keys]
+
+
+def bucket_starts(buckets: DataFrame) -> DataFrame:
+    """(source, bucket, bucket_start): the words of a source's buckets before each bucket."""
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return buckets.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("bucket_start"))
+
+
+def inner_start() -> Column:
+    """The words of a row's (source, bucket) before the row."""
+    within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "__key", "rid").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("size").over(within), F.lit(0))
+
+
+def filled(line: DataFrame, rests: DataFrame) -> DataFrame:
+    """(rid, more): for each document that fills a source's rest, the places of its further copies on the line.
+
+    Every round takes the open documents that fit in the rest, in hash order, up to the first that no
+    longer fits; at least one per source is taken, until none fits.
+    """
+    spark = line.sparkSession
+    found = None
+    state = line.where(F.col("size") > 0).select("source", "bucket", "h", "doc_id", "size", "__key", "rid", "target", F.col("whole").alias("used"))
+    while True:
+        # One row per source, and the driver has checked how many sources there are.
+        open_rows = state.join(F.broadcast(rests), same(state, rests, "source")).drop(rests["source"])
+        open_rows = open_rows.where((F.col("used") < MAX_REPEATS) & (F.col("size") <= F.col("rest")))
+        open_rows = written(open_rows, "mix-open")
+        starts = bucket_starts(open_rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
+        placed = open_rows.withColumn("inner_start", inner_start())
+        placed = placed.join(starts, same(placed, starts, "source", "bucket")).drop(starts["source"]).drop(starts["bucket"])
+        start = F.col("bucket_start") + F.col("inner_start")
+        at = F.when(start + F.col("size") <= F.col("rest"), F.floor(F.col("target") - F.col("rest") + start))
+        placed = written(placed.withColumn("at", at), "mix-fill")
+        took = placed.groupBy("source").agg(
+            F.first("rest").alias("rest"), F.sum(F.when(F.col("at").isNotNull(), F.col("size")).otherwise(0)).alias("words")
+        ).collect()
+        if not took:
+            break
+        copies = placed.where(F.col("at").isNotNull()).select("rid", "at")
+        found = copies if found is None else found.union(copies)
+        rests = spark.createDataFrame([(r["source"], r["rest"] - r["words"]) for r in took], "source string, rest double")
+        state = placed.withColumn("used", F.col("used") + F.col("at").isNotNull().cast("int")).drop("rest", "inner_start", "bucket_start", "at")
+    if found is None:
+        found = spark.createDataFrame([], "rid bigint, at bigint")
+    return written(found.groupBy("rid").agg(F.sort_array(F.collect_list("at")).alias("more")), "mix-more")
+
+
+def plan(docs: DataFrame, shards: int = OUTPUT_SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED, fill: bool = True) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, __key (hash of the whole row)
     and copies, an array of (shard, position within the shard)."""
     spark = docs.sparkSession
@@ -113,38 +166,45 @@ def plan(docs: DataFrame, shards: int = OUTPUT_SHARDS, block_words: int = BLOCK_
         [(r["source"], s, t, q, *permutation(q, rng), [int(x) for x in ends[:, i]]) for i, (r, s, t, q) in enumerate(zip(found, sizes, wanted, quotas))],
         "source string, source_size bigint, target double, quota bigint, a bigint, b bigint, ends array<bigint>",
     )
-    same = lambda x, y, *keys: [x[k].eqNullSafe(y[k]) for k in keys]
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("bucket_start"))
+    starts = bucket_starts(buckets)
     starts = starts.join(sources, same(starts, sources, "source")).drop(sources["source"])
-    within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "__key").rowsBetween(Window.unboundedPreceding, -1)
-    line = rows.withColumn("inner_start", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    line = rows.withColumn("inner_start", inner_start())
     line = line.join(starts, same(line, starts, "source", "bucket")).drop(starts["source"]).drop(starts["bucket"])
     start = F.col("bucket_start") + F.col("inner_start")
     fits = lambda p: (F.col("source_size") * p + start + F.col("size") <= F.col("target")).cast("int")
     whole = sum((fits(p) for p in range(1, MAX_REPEATS)), fits(0))
     line = written(line.withColumn("start", start).withColumn("whole", F.when(F.col("size") > 0, whole).otherwise(0)), "mix-line")
-    rest = line.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("rest"))
+    rest_of = lambda rows, words: rows.groupBy("source").agg((F.first("target") - F.sum(words)).alias("rest"))
+    none = F.array().cast("array<bigint>")
+    if fill:
+        more = filled(line, written(rest_of(line, F.col("whole") * F.col("size")), "mix-rest"))
+        line = line.join(more.withColumnRenamed("rid", "more_rid"), F.col("rid") == F.col("more_rid"), "left").drop("more_rid")
+        line = line.withColumn("more", F.coalesce("more", none))
+    else:
+        line = line.withColumn("more", none)
+    used = F.col("whole") + F.size("more")
+    rest = rest_of(line, used * F.col("size"))
     gap = F.abs(F.col("rest") - F.col("size"))
-    open_rows = line.where((F.col("size") > 0) & (F.col("whole") < MAX_REPEATS))
+    open_rows = line.where((F.col("size") > 0) & (used < MAX_REPEATS))
     best = (
         open_rows.join(rest, same(open_rows, rest, "source")).drop(rest["source"]).where(gap < F.col("rest"))
-        .groupBy("source").agg(F.min(F.struct(gap.alias("gap"), "h", "doc_id", "size", "__key", "rid")).alias("best"))
-        .select(F.col("source").alias("best_source"), F.col("best.rid").alias("best_rid"))
+        .groupBy("source").agg(F.min(F.struct(gap.alias("gap"), "h", "doc_id", "size", "__key", "rid", F.floor(F.col("target") - F.col("rest")).alias("at"))).alias("best"))
+        .select(F.col("source").alias("best_source"), F.col("best.rid").alias("best_rid"), F.col("best.at").alias("best_at"))
     )
     # One row per source at most, and the driver has checked how many sources there are.
     line = line.join(F.broadcast(best), line["source"].eqNullSafe(F.col("best_source")), "left")
-    copies = F.col("whole") + (F.col("best_rid") == F.col("rid")).cast("int")
-    line = line.withColumn("n_copies", F.coalesce(copies, F.col("whole")))
-    position = lambda p: F.least((F.col("source_size") * p + F.col("start")).cast("bigint"), (F.col("quota") * block_words - 1).cast("bigint"))
-    block = lambda p: F.floor(position(p) / block_words)
-    ranked = lambda p: ((F.col("a").cast("decimal(19,0)") * block(p).cast("decimal(18,0)") + F.col("b")) % F.col("quota")).cast("bigint")
-    shard = lambda p: F.size(F.filter("ends", lambda e: e <= ranked(p)))
-    copy = lambda p: F.struct(shard(p).alias("shard"), F.xxhash64(F.col("__key"), p, F.lit(seed)).alias("position"))
-    numbers = F.when(F.col("n_copies") > 0, F.sequence(F.lit(0), F.col("n_copies") - 1)).otherwise(F.array().cast("array<int>"))
+    last = F.when(F.col("best_rid") == F.col("rid"), F.array("best_at")).otherwise(none)
+    numbers = F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.array().cast("array<int>"))
+    places = F.concat(F.transform(numbers, lambda p: F.col("source_size") * p + F.col("start")), "more", last)
+    line = line.withColumn("places", places)
+    position = lambda at: F.least(at.cast("bigint"), (F.col("quota") * block_words - 1).cast("bigint"))
+    block = lambda at: F.floor(position(at) / block_words)
+    ranked = lambda at: ((F.col("a").cast("decimal(19,0)") * block(at).cast("decimal(18,0)") + F.col("b")) % F.col("quota")).cast("bigint")
+    shard = lambda at: F.size(F.filter("ends", lambda e: e <= ranked(at)))
+    copy = lambda at, p: F.struct(shard(at).alias("shard"), F.xxhash64(F.col("__key"), p, F.lit(seed)).alias("position"))
     return line.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"), "__key",
-        F.transform(numbers, copy).alias("copies"),
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("places")).alias("taken"), "__key",
+        F.transform("places", copy).alias("copies"),
     )
 
 

@@ -98,3 +98,21 @@ def test_shards_get_their_quotas(spark):
     rows = mixing.plan(docs, shards=5, block_words=50).collect()
     shards = Counter(c.shard for r in rows for c in r.copies)
     assert max(shards.values()) - min(shards.values()) <= 3
+
+
+@pytest.mark.parametrize("huge", [7, 250, 291])
+def test_a_huge_document_leaves_no_gap(spark, huge):
+    docs = spark.range(900).selectExpr("id AS doc_id", f"repeat('w ', CASE WHEN id = {huge} * 3 THEN 20000 ELSE 30 END) AS text", "concat('s', id % 3) AS source")
+    rows = mixing.plan(docs, block_words=256).collect()
+    for target in {r.target for r in rows}:
+        own = [r for r in rows if r.target == target]
+        short = [r for r in own if r.size == 30]
+        gap = target - sum(r.taken for r in own)
+        assert all(r.taken == r.size * len(r.copies) <= 3 * r.size for r in own)
+        # Either the target is met within half a short document, or all that is short is used up.
+        assert abs(gap) <= 15 or all(len(r.copies) == 3 for r in short)
+    words = Counter()
+    for r in rows:
+        for c in r.copies:
+            words[c.shard] += r.size if r.size == 30 else 0
+    assert len(words) == mixing.OUTPUT_SHARDS
