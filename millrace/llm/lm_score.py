@@ -8,9 +8,9 @@ class words + 1), so token probabilities are normalised for seen and unseen toke
 
 The class model is log-bilinear: the vectors of the two tokens before are added, and a class's score is
 the product with its own vector plus a bias. It is trained by noise-contrastive estimation in numpy on
-every training document (each `STRIDE`-th position of it): every task trains on its partition from the
-same start, and the weighted mean of their parameters is the next start. What tasks emit grows with
-the corpus; it is summed by parameter chunk, and only one model reaches the driver.
+every position of every training document: every task trains on its partition from the same start,
+and the weighted mean of their parameters is the next start. What tasks emit grows with the corpus; it
+is summed by parameter chunk, and only one model reaches the driver.
 
 For scoring, batched matrix products give each context's normaliser over all classes, once per context
 and worker. Counts of the `DICTIONARY` most frequent tokens are broadcast, which bounds the size; the
@@ -40,7 +40,7 @@ FREQUENT, BUCKETS, PREFIX = 895, 128, 3
 END = FREQUENT + BUCKETS
 CLASSES = END + 1
 CONTEXT, SIZE = 2, 32
-NOISE, BATCH, STRIDE, RATE = 64, 1024, 4, 0.15
+NOISE, BATCH, RATE = 64, 1024, 0.15
 #: Documents (one in so many, by hash) in each round of training.
 ROUNDS = (8, 1)
 BUFFER = 1 << 16
@@ -156,6 +156,14 @@ class Model:
         return (own - self.normalisers[codes]).astype(np.float64)
 
 
+def add_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """`np.add.at` for rows of a matrix, by sorting them."""
+    order = np.argsort(rows, kind="stable")
+    line = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    out[line[first]] += np.add.reduceat(values[order], first, axis=0)
+
+
 class Trainer:
     """Noise-contrastive estimation with Adagrad; noise classes are shared by a batch."""
 
@@ -185,10 +193,10 @@ class Trainer:
         g_noise = 1 / (1 + np.exp(-np.clip(on_noise, -30, 30)))
         dq = g_data[:, None] * target[w] + g_noise @ target[noise]
         grads = [np.zeros_like(first), np.zeros_like(second), np.zeros_like(target), np.zeros_like(bias)]
-        np.add.at(grads[0], h1, dq)
-        np.add.at(grads[1], h2, dq)
-        np.add.at(grads[2], w, g_data[:, None] * q)
-        np.add.at(grads[2], noise, g_noise.T @ q)
+        add_rows(grads[0], h1, dq)
+        add_rows(grads[1], h2, dq)
+        add_rows(grads[2], w, g_data[:, None] * q)
+        add_rows(grads[2], noise, g_noise.T @ q)
         np.add.at(grads[3], w, g_data)
         np.add.at(grads[3], noise, g_noise.sum(axis=0))
         for value, grad, square in zip((first, second, target, bias), grads, self.squares):
@@ -211,11 +219,10 @@ def _train_round(texts: DataFrame, vocabulary, model: Model, one_in: int, seed:
         own.load(start.value.parameters())
         trainer, buffer, held = Trainer(own, seed), [], 0
         for batch in batches:
-            for text, place in zip(batch["text"], batch["place"].to_pylist()):
+            for text in batch["text"]:
                 line = with_ends(vocabulary.value.look_up(tokens(text.as_buffer().to_pybytes()))[1])
-                at = np.arange(place % STRIDE, len(line) - CONTEXT, STRIDE)
-                buffer.append(np.column_stack([line[at], line[at + 1], line[at + 2]]))
-                held += len(at)
+                buffer.append(np.column_stack([line[:-2], line[1:-1], line[2:]]))
+                held += len(line) - CONTEXT
                 if held >= BUFFER:
                     trainer.learn(np.concatenate(buffer))
                     buffer, held = [], 0
@@ -236,7 +243,7 @@ def _train_round(texts: DataFrame, vocabulary, model: Model, one_in: int, seed:
 
     chosen = texts if one_in == 1 else texts.where(F.pmod(F.shiftright("place", 8), F.lit(one_in)) == 0)
     schema = "chunk int, weight bigint, values binary"
-    trained = arrow_map(chosen, run, schema)
+    trained = arrow_map(chosen.select("text"), run, schema)
     summed = arrow_map(trained.repartition(CHUNKS, "chunk"), add, schema).collect()
     if not summed:
         return model.parameters()

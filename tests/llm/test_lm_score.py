@@ -46,3 +46,30 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     rows = [r for r in L.score(spark.read.parquet(f"{SF}/documents.parquet")).collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
     assert sum(r["score"] > r["base_score"] for r in rows) > 0.8 * len(rows)
+
+
+def test_every_position_is_learned(spark, monkeypatch):
+    seen = []
+    text = lambda n: " ".join(f"w{k}" for k in range(n))
+    docs = spark.createDataFrame([(k, text(n)) for k, n in enumerate((0, 1, 2, 3, 9, 40))], "doc_id bigint, text string")
+    texts = docs.select(L.text_bytes().alias("text"), L.F.xxhash64("doc_id", "text").alias("place")).coalesce(1)
+
+    def in_driver(df, function, schema):
+        out = list(function(iter(df.toArrow().to_batches())))
+        if "weight" in schema:
+            seen.extend(b["weight"][0].as_py() for b in out if b.num_rows)
+        return spark.createDataFrame(L.pa.Table.from_batches(out), schema)
+
+    monkeypatch.setattr(L, "arrow_map", in_driver)
+    vocabulary = L.Vocabulary([], 0, 0, {})
+    L._train_round(texts, spark.sparkContext.broadcast(vocabulary), L.Model(vocabulary.mass), 1, 0)
+    assert seen[0] == sum(n + 1 for n in (0, 1, 2, 3, 9, 40))
+
+
+def test_rows_are_added_up():
+    rng = np.random.default_rng(1)
+    rows, values = rng.integers(0, 9, 200), rng.normal(size=(200, 3))
+    want, got = np.zeros((9, 3)), np.zeros((9, 3))
+    np.add.at(want, rows, values)
+    L.add_rows(got, rows, values)
+    assert np.allclose(want, got)
