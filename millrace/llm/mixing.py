@@ -23,13 +23,15 @@ are ordered by their text; repeated rows are separate documents; no rows give no
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil, gcd
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, id_hash, row_key, written
+from .common import WORD, arrow_map, id_hash, row_key, text_bytes, written
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -208,15 +210,22 @@ def plan(docs: DataFrame, shards: int = OUTPUT_SHARDS, block_words: int = BLOCK_
     )
 
 
-def mixed(docs: DataFrame, shards: int = OUTPUT_SHARDS, seed: int = SEED) -> DataFrame:
-    """The mix itself: each taken copy as a row with the columns of `docs`, in shards, shuffled locally."""
-    columns = docs.columns
+def numbered(docs: DataFrame, shards: int = OUTPUT_SHARDS, seed: int = SEED, fill: bool = True) -> DataFrame:
+    """The plan as a written table, with the turn of each row among equal rows."""
+    same_row = Window.partitionBy("__key").orderBy("__key")
+    return written(plan(docs, shards, seed=seed, fill=fill).withColumn("__nth", F.row_number().over(same_row)), "mix-plan")
+
+
+def drawn(docs: DataFrame, planned: DataFrame, *columns: str) -> DataFrame:
+    """Each copy that the shards draw, as a row with `columns` of `docs` and of the draw, in shards, shuffled locally.
+
+    The draw has __row and __turn (which row of the plan) and __copy (shard and position).
+    """
     same_row = Window.partitionBy("__key").orderBy("__key")
     left = docs.withColumn("__key", row_key(docs)).withColumn("__nth", F.row_number().over(same_row))
-    right = plan(docs, shards, seed=seed).select("__key", F.col("copies").alias("__copies"), F.row_number().over(same_row).alias("__nth")).where(F.size("__copies") > 0)
     # The second condition is no equality of columns, so the join keeps the windows' partitioning by key and
     # texts are dealt out once.
-    right = right.withColumnsRenamed({"__key": "__row", "__nth": "__turn"})
+    right = planned.where(F.size("copies") > 0).select(F.col("__key").alias("__row"), F.col("__nth").alias("__turn"), F.col("copies").alias("__copies"))
     pairs = left.join(right, (F.col("__key") == F.col("__row")) & (F.col("__nth") - F.col("__turn") == 0))
     taken = pairs.withColumn("__copy", F.explode("__copies"))
     # Slices keep the partitions of a shard small; rows of a slice are in shuffled order.
@@ -224,6 +233,30 @@ def mixed(docs: DataFrame, shards: int = OUTPUT_SHARDS, seed: int = SEED) -> Dat
     return taken.repartition(F.col("__copy.shard"), F.col("__slice")).sortWithinPartitions("__copy.shard", "__copy.position").select(*columns)
 
 
+def mixed(docs: DataFrame, shards: int = OUTPUT_SHARDS, seed: int = SEED) -> DataFrame:
+    """The mix itself: each taken copy as a row with the columns of `docs`, in shards, shuffled locally."""
+    return drawn(docs, numbered(docs, shards, seed), *docs.columns)
+
+
+def report(docs: DataFrame, shards: int = OUTPUT_SHARDS, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row: `taken` is counted in the texts of the drawn mix.
+
+    The mix is the one that `ORACLE_SQL` states, without `fill`.
+    """
+    planned = numbered(docs, shards, seed, fill=False)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [len(text.as_buffer().to_pybytes().split()) for text in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["__row"], batch["__turn"], pa.array(words, pa.int64())], names=["__row", "__turn", "words"])
+
+    # Python sees whole texts in the mix's order, so no part of the draw is pruned.
+    texts = drawn(docs, planned, "__row", "__turn", text_bytes().alias("text"))
+    sums = arrow_map(texts, count, "__row bigint, __turn int, words bigint").groupBy("__row", "__turn").agg(F.sum("words").alias("words"))
+    out = planned.drop("taken").join(sums, (F.col("__key") == F.col("__row")) & (F.col("__nth") == F.col("__turn")), "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("bigint").alias("taken"))
+
+
 ORACLE_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,

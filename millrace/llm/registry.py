@@ -24,8 +24,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(_table(spark, sf_dir, "documents"), fill=False)
-    return planned.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.report(_table(spark, sf_dir, "documents"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

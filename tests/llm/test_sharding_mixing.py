@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import fixtures
-from millrace.llm import mixing, sharding
+from millrace.llm import mixing, registry, sharding
 
 
 def brute_table(names, size):
@@ -116,3 +116,14 @@ def test_a_huge_document_leaves_no_gap(spark, huge):
         for c in r.copies:
             words[c.shard] += r.size if r.size == 30 else 0
     assert len(words) == mixing.OUTPUT_SHARDS
+
+
+def test_query_counts_the_drawn_copies(spark, tmp_path, monkeypatch):
+    folder = fixtures.awkward(tmp_path)
+    rows = lambda: registry.QUERIES["op6_mixing"](spark, folder).collect()
+    before = {(r["doc_id"], r["size"]): r["taken"] for r in rows()}
+    drawn = mixing.drawn
+    # A shard whose copies are lost is missing in `taken`.
+    monkeypatch.setattr(mixing, "drawn", lambda docs, planned, *columns: drawn(docs, planned, "__copy", *columns).where("__copy.shard > 7").drop("__copy"))
+    after = {(r["doc_id"], r["size"]): r["taken"] for r in rows()}
+    assert before.keys() == after.keys() and sum(after.values()) < sum(before.values())
