@@ -21,10 +21,12 @@ _shipped: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one if that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; if that is unset, a temporary one, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="millrace-"))
     return _own_folder[0]
@@ -38,7 +40,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder, read back: cuts lineage and survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that `written` returned, once nothing reads them any more."""
+    for frame in frames:
+        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame.written_at)
+        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def columns(df: DataFrame, *, without: str = "") -> list[Column]:
+    """All columns, whatever characters their names hold; `without` names one to leave out."""
+    return [named(c) for c in df.columns if c.lower() != without]
+
+
+def named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def arrow_map(df: DataFrame, function: Callable, schema: object) -> DataFrame:
@@ -77,7 +97,7 @@ def crc_of_id(id_column: str = "doc_id") -> Column:
 
 def row_key(df: DataFrame) -> Column:
     """64-bit hash of a whole row; equal rows share it."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return F.xxhash64(*columns(df))
 
 
 def text_bytes(column: str = "text") -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _least_neighbour(edges: DataFrame, own: bool) -> DataFrame:
@@ -40,7 +40,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
-        seen = state
-        current = written(_small_star(written(_large_star(current), "star")), "star")
+        large = written(_large_star(current), "star")
+        small = written(_small_star(large), "star")
+        discard(current, large)
+        current, seen = small, state
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -1,28 +1,34 @@
 """Near-duplicate groups by MinHash bands, verified by odd sketches and then on full sets.
 
-A document's set is its distinct shingles of `WORDS` words. Documents with equal sets form a class, and
-from then on only classes are compared. A class has `BANDS * ROWS` MinHash samples: ROWS in a row make
-a band's key, and classes that share a key are candidates. Up to SAMPLES further samples are folded into
-an odd sketch: each flips one bit, chosen by a hash of its range and value, so two sketches differ in
-two bits for each sample that differs, and the population count of their XOR estimates the similarity.
-A second sketch takes all items as samples, which is more precise for small sets. Candidates whose
-sketches differ in more bits than similar pairs' do are dropped, and the rest are compared on full sets.
+A document's set is its distinct shingles of `WORDS` words. Documents with equal sets form a class, a
+node of its own whatever the ids, and from then on only classes are compared. A class has
+`BANDS * ROWS` MinHash samples: ROWS in a row make a band's key, and classes that share a key are
+candidates. Up to SAMPLES further samples are folded into an odd sketch: each flips one bit, chosen by
+a hash of its range and value, so two sketches differ in two bits for each sample that differs, and the
+population count of their XOR estimates the similarity. A second sketch takes all items as samples, which
+is more precise for small sets. Candidates whose sketches differ in more bits than similar pairs' do are
+dropped, and the rest are compared on full sets.
 
 A bucket's members aren't all paired. First each is compared with the bucket's smallest member, and
-components are formed. Then only pairs that are still in different components are compared, and the
-bucket's largest component isn't paired with itself. As pairs in one component can't change the result,
-this is as good as all pairs, while a large group of copies costs one comparison for each member.
+components are formed. Then only pairs in different components are compared, and the bucket's largest
+component isn't paired with itself. Pairs in one component can't change the result, so a large group of
+copies costs one comparison for each member. A bucket where that would still take more than `PAIRED`
+pairs for each member, such as many unlike documents of one template, isn't paired at all. Its members
+go into an exact join instead: with the items of every set in one order, rarest first, two similar sets
+share an item among the first few, fewer for the smaller set. Items that are crowded in turn, since
+documents consist of common passages alone, are split by the band keys that their members share.
 
 A pair of similarity 0.8 shares no band with probability (1 - 0.8**ROWS)**BANDS, below 1e-4, and a more
 similar one far more rarely. Defined cases: null text and text without words have an empty set, linked
-with nothing; a text with fewer words than WORDS is one shingle; rows with the same id are one
-document; rows with a null id are linked with nothing and kept; no rows give no rows.
+with nothing; a text with fewer words than WORDS is one shingle. In `groups`, an id is one document:
+rows that share it are linked through it, whatever their texts, and rows with a null id are linked with
+nothing. In `deduplicated`, texts alone link: a repeated id with another text stays, rows that repeat
+both are one, rows without words or without an id stay. No rows give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_map, text_bytes, written
+from .common import LOWER, arrow_map, columns, discard, text_bytes, written
 from .components import components
 
 WORDS = 5
@@ -44,10 +50,13 @@ SKETCH_LONGS = 16
 SKETCH_BITS = 64 * SKETCH_LONGS
 DEVIATIONS = 5.0
 WHOLE_TABLE = 1 << 13
-#: Texts to compare are chosen by a broadcast of up to this many ids of 8 bytes, else by a shuffled join.
-BROADCAST_IDS = 500_000
-#: Sizes within a level differ by less than this factor; similar sets' sizes by at most 100 / 80.
-LEVEL = 1.26
+#: Rows are chosen by a broadcast of up to this many ids of 24 bytes, else by a shuffled join.
+BROADCAST_IDS = 200_000
+#: Pairs for each member of a bucket, up to which its components are paired directly.
+PAIRED = 16
+#: Counters that rank items by frequency; a shared counter costs speed, not results.
+SLOTS = 1 << 20
+SET = ("n", "h1", "h2")
 CACHE_WORDS = 200_000
 CHUNK = 1 << 12
 _RNG = np.random.default_rng(8)
@@ -157,8 +166,13 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
 
 
+def place() -> Column:
+    """A hash of the text: with the id, it names a row up to its repetitions."""
+    return F.xxhash64(text_bytes())
+
+
 def features(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n (size of the set), h1 and h2 (a hash of the set), bands, samples, s0 to s15 and t0 to t15 (sketches)."""
+    """doc_id, place, n (size of the set), h1 and h2 (a hash of the set), bands, samples, s0 to s15 and t0 to t15 (sketches)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,11 +189,11 @@ def features(docs: DataFrame, words: int = WORDS) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands) if bands else np.zeros(0, dtype=np.int64)))
             h1, h2, *sketch = [pa.array(c) for c in longs.T]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), h1, h2, lists, pa.array(counts, pa.int32()), *sketch], names=names)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["place"], pa.array(n, pa.int64()), h1, h2, lists, pa.array(counts, pa.int32()), *sketch], names=names)
 
-    names = ["doc_id", "n", "h1", "h2", "bands", "samples", *SKETCHES]
-    texts = docs.select(F.col("doc_id").cast("bigint"), text_bytes().alias("text"))
-    schema = "doc_id bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>, samples int, " + ", ".join(f"{s} bigint" for s in SKETCHES)
+    names = ["doc_id", "place", "n", "h1", "h2", "bands", "samples", *SKETCHES]
+    texts = docs.select(F.col("doc_id").cast("bigint"), place().alias("place"), text_bytes().alias("text"))
+    schema = "doc_id bigint, place bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>, samples int, " + ", ".join(f"{s} bigint" for s in SKETCHES)
     return arrow_map(texts, run, schema)
 
 
@@ -188,41 +202,17 @@ def _differing(a: str, b: str, sketch: list[str]) -> Column:
     return sum(counts[1:], counts[0])
 
 
+def _sizes_allow(n: Column, m: Column) -> Column:
+    return SIMILAR[1] * F.least(n, m) >= SIMILAR[0] * F.greatest(n, m)
+
+
 def _close(a: str, b: str) -> Column:
     """What set sizes and sketches leave possible."""
     both = lambda c: F.col(f"{a}.{c}") + F.col(f"{b}.{c}")
-    sizes = SIMILAR[1] * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= SIMILAR[0] * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
     # Beyond the table's end a whole sketch is full and tells nothing.
     whole = F.coalesce(F.get(F.lit([most_bits_whole(k) for k in range(WHOLE_TABLE)]), both("n").cast("int")), F.lit(SKETCH_BITS))
     sampled = F.get(F.lit([most_bits(k) for k in range(2 * SAMPLES + 1)]), both("samples"))
-    return sizes & (_differing(a, b, WHOLE) <= whole) & (_differing(a, b, SAMPLED) <= sampled)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar. Nodes are ids of documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, items = None, None
-        for batch in batches:
-            keep = []
-            for b, one, other in zip(batch["b"].to_pylist(), batch["text_a"], batch["text_b"]):
-                if b != last:
-                    last, items = b, shingles(other.as_buffer().to_pybytes(), words)
-                keep.append(similar(shingles(one.as_buffer().to_pybytes(), words), items))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    # The centre is b: its text is joined last, and its rows of a partition arrive together.
-    nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(_chosen(docs.select(F.col("doc_id").cast("bigint"), text_bytes().alias("text")), "doc_id", nodes), "near-texts")
-    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeated(texts) else texts
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
-    return written(arrow_map(joined, run, "a bigint, b bigint"), "near-links")
-
-
-def _repeated(texts: DataFrame) -> bool:
-    return not texts.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return _sizes_allow(F.col(f"{a}.n"), F.col(f"{b}.n")) & (_differing(a, b, WHOLE) <= whole) & (_differing(a, b, SAMPLED) <= sampled)
 
 
 def _chosen(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
@@ -232,64 +222,222 @@ def _chosen(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return df.join(ids, F.col(column) == F.col("__id"), "left_semi")
 
 
-def _sketches(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n, samples and sketches of the given nodes, one row each."""
-    columns = ["n", "samples", *SKETCHES]
-    some = _chosen(rows.where("n > 0").select(F.col("doc_id").alias("node"), *columns), "node", nodes)
-    return written(some.groupBy("node").agg(*[F.first(c).alias(c) for c in columns]), "near-sketches")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
-def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
-    rows = written(features(docs, words), "near-features")
-    set_key = ["n", "h1", "h2"]
-    classes = written(
-        rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*set_key)
-        .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")),
-        "near-classes",
-    )
-    members = classes.select("node", F.explode("bands").alias("key"))
-    buckets = written(members.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
+class Sets:
+    """The documents' sets: their features by row, and their classes.
+
+    A class's node is the row number of its document with the smallest id; `least` and `place` find that
+    document's text again.
+    """
+
+    def __init__(self, docs: DataFrame, words: int):
+        self.words = words
+        self.texts = docs.select(F.col("doc_id").cast("bigint"), place().alias("place"), text_bytes().alias("text"))
+        self.rows = written(features(docs, words).withColumn("rid", F.monotonically_increasing_id()), "near-features")
+        first = F.min(F.struct("doc_id", "rid", "place")).alias("first")
+        classes = self.real_rows().groupBy(*SET).agg(first, F.first("bands").alias("bands"))
+        self.classes = written(
+            classes.select(*SET, F.col("first.rid").alias("node"), F.col("first.doc_id").alias("least"), F.col("first.place").alias("place"), "bands"),
+            "near-classes",
+        )
+
+    def real_rows(self) -> DataFrame:
+        return self.rows.where("n > 0 AND doc_id IS NOT NULL")
+
+    def linked_by_id(self) -> DataFrame | None:
+        """Links (a, b) of classes that hold rows of one id; None if every id has one set."""
+        which = F.xxhash64(*SET)
+        ids = self.real_rows().groupBy("doc_id").agg(F.min(which).alias("low"), F.max(which).alias("high")).where("low <> high").select("doc_id")
+        ids = written(ids, "near-ids")
+        if ids.isEmpty():
+            return None
+        nodes = _chosen(self.real_rows().select("doc_id", *SET), "doc_id", ids).join(self.classes.select(*SET, "node"), list(SET)).select("doc_id", "node")
+        nodes = written(nodes.distinct(), "near-id-nodes")
+        hubs = nodes.groupBy("doc_id").agg(F.min("node").alias("b"))
+        return nodes.join(hubs, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
+
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of nodes that their sketches leave possible."""
+        some = self.rows.select(F.col("rid").alias("node"), "n", "samples", *SKETCHES)
+        sketches = written(_chosen(some, "node", _ends(pairs)), "near-sketches")
+        joined = pairs.alias("p").join(sketches.alias("x"), F.col("p.a") == F.col("x.node"))
+        joined = joined.join(sketches.alias("y"), (F.col("p.b") == F.col("y.node")) & _close("x", "y"))
+        out = written(joined.select("p.a", "p.b"), "near-close")
+        discard(sketches)
+        return out
+
+    def texts_of(self, nodes: DataFrame) -> DataFrame:
+        """(node, text) of a table of distinct nodes, written."""
+        wanted = written(_chosen(self.classes.select("node", "least", F.col("place").alias("at")), "node", nodes), "near-wanted")
+        small = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        found = self.texts.join(small, (F.col("doc_id") == F.col("least")) & (F.col("place") == F.col("at"))).select("node", "text")
+        found = written(found, "near-texts")
+        if found.groupBy("node").count().where("count > 1").isEmpty():
+            return found
+        # Rows that repeat both id and text.
+        once = written(found.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
+        discard(found)
+        return once
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of nodes whose full sets are similar."""
+        words = self.words
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, items = None, None
+            for batch in batches:
+                keep = []
+                for b, one, other in zip(batch["b"].to_pylist(), batch["text_a"], batch["text_b"]):
+                    if b != last:
+                        last, items = b, shingles(other.as_buffer().to_pybytes(), words)
+                    keep.append(similar(shingles(one.as_buffer().to_pybytes(), words), items))
+                yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        texts = self.texts_of(_ends(pairs))
+        # The text of b is joined last, and the rows of a b arrive together; a crowded b is split by AQE.
+        one, other = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        joined = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
+        out = written(arrow_map(joined, run, "a bigint, b bigint"), "near-links")
+        discard(texts)
+        return out
+
+
+def _components_apart(members: DataFrame) -> DataFrame:
+    """(key, main, few) of keys whose members are in several components: the largest of them, and whether
+    pairing the components takes at most PAIRED pairs for each member. Only counts meet by key."""
+    counts = members.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("all"), F.count_if("early").cast("double").alias("early"))
+    main = F.max(F.struct("all", "early", "component")).alias("main")
+    keys = counts.groupBy("key").agg(main, F.sum("all").alias("all"), F.sum("early").alias("early"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    work = (F.col("all") - F.col("main.all")) * F.col("early") + F.col("main.all") * (F.col("early") - F.col("main.early"))
+    few = work <= PAIRED * (F.col("all") + F.col("early"))
+    return written(keys.select("key", F.col("main.component").alias("main"), few.alias("few")), "near-keys")
+
+
+def _pairs_apart(members: DataFrame, keys: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of a key in different components, b the smaller set and `early`; the main
+    component's members meet the others' only."""
+    placed = members.join(keys.select("key", "main"), "key").withColumn("stray", F.col("component") != F.col("main"))
+    meets = F.explode(F.when(F.col("stray"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("meets")
+    x, y = placed.select("key", "node", "n", "component", meets).alias("x"), placed.where("early").alias("y")
+    larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    apart = (F.col("x.component") != F.col("y.component")) & larger & _sizes_allow(F.col("x.n"), F.col("y.n"))
+    found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.meets") == F.col("y.stray")) & apart)
+    return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def prefix_lengths(n: int) -> tuple[int, int]:
+    """Of the first so many items of a set of n, one is shared by any similar set that is no larger, and
+    of the first so many by any that is no smaller."""
+    larger = n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1
+    smaller = n - -(-2 * SIMILAR[0] * n // (SIMILAR[0] + SIMILAR[1])) + 1
+    return larger, smaller
+
+
+def _rare_items(nodes: DataFrame, sets: Sets) -> DataFrame:
+    """(key, node, n, component, early) of the first items of each node's set, rarest first; `early` marks
+    those that the smaller set of a similar pair shares. Frequencies cover all of the nodes' sets."""
+    words = sets.words
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                np.add.at(seen, (shingles(text.as_buffer().to_pybytes(), words) % np.uint64(SLOTS)).astype(np.int64), 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["slot", "c"])
+
+    texts = sets.texts_of(nodes.select("node"))
+    # A table of SLOTS counts at most, whatever the number of sets.
+    table = arrow_map(texts.select("text"), count, "slot bigint, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    frequency = np.zeros(SLOTS, dtype=np.int64)
+    frequency[table["slot"].to_numpy()] = table["c"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(frequency)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch["text"]):
+                items = shingles(text.as_buffer().to_pybytes(), words)
+                order = np.lexsort((items, shared.value[(items % np.uint64(SLOTS)).astype(np.int64)]))
+                probe, early = prefix_lengths(len(items))
+                some = items[order[:probe]].view(np.int64)
+                same = [pa.array([batch[c][k].as_py()] * len(some), pa.int64()) for c in ("node", "n", "component")]
+                yield pa.RecordBatch.from_arrays([pa.array(some), *same, pa.array(np.arange(len(some)) < early)], names=["key", "node", "n", "component", "early"])
+
+    items = arrow_map(nodes.join(texts, "node").select("node", "n", "component", "text"), first, "key bigint, node bigint, n bigint, component bigint, early boolean")
+    out = written(items, "near-items")
+    discard(texts)
+    return out
+
+
+def _late_pairs(members: DataFrame, found: DataFrame, sets: Sets) -> DataFrame:
+    """Pairs (a, b) of nodes that share a band and that no link connects yet, however indirectly."""
+    placed = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"), F.lit(True).alias("early"))
+    placed = written(placed, "near-placed")
+    keys = _components_apart(placed)
+    pairs = _pairs_apart(placed, keys.where("few"))
+    crowded = keys.where("NOT few")
+    if not crowded.isEmpty():
+        bands = placed.join(crowded.select("key"), "key")
+        items = _rare_items(written(bands.select("node", "n", "component").distinct(), "near-nodes"), sets)
+        item_keys = _components_apart(items)
+        pairs = pairs.unionByName(_pairs_apart(items, item_keys.where("few")))
+        common = item_keys.where("NOT few")
+        if not common.isEmpty():
+            shared = items.join(common.select("key"), "key").join(bands.select("node", F.col("key").alias("band")), "node")
+            shared = written(shared.withColumn("key", F.xxhash64("key", "band")).drop("band"), "near-common")
+            pairs = pairs.unionByName(_pairs_apart(shared, _components_apart(shared)))
+    return written(pairs.distinct(), "near-late")
+
+
+def components_of(sets: Sets, by_id: bool) -> DataFrame:
+    """n, h1, h2, least, place, node, component of every class; linked through shared ids too if `by_id`."""
+    classes = sets.classes
+    members = classes.select("node", "n", F.explode("bands").alias("key"))
+    centre = F.min(F.struct("node", "n")).alias("centre")
+    buckets = written(members.groupBy("key").agg(centre, F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
     crowded = written(members.join(buckets, "key"), "near-members")
-    stars = crowded.where("node <> centre").select("node", "centre").distinct()
-    sketches = _sketches(rows, crowded.select("node").distinct())
-    stars = stars.alias("p").join(sketches.alias("x"), F.col("p.node") == F.col("x.node"))
-    stars = stars.join(sketches.alias("y"), (F.col("p.centre") == F.col("y.node")) & _close("x", "y"))
-    links = _verified(written(stars.select(F.col("p.node").alias("a"), F.col("p.centre").alias("b")), "near-stars"), docs, words)
+    stars = crowded.where((F.col("node") != F.col("centre.node")) & _sizes_allow(F.col("n"), F.col("centre.n")))
+    stars = written(stars.select(F.col("node").alias("a"), F.col("centre.node").alias("b")).distinct(), "near-stars")
+    links = sets.verified(sets.close(stars))
+    if by_id and (more := sets.linked_by_id()) is not None:
+        links = links.unionByName(more)
     found = written(components(links, "a", "b"), "near-components")
-
-    # What is left: pairs in a bucket of three or more that no link connects, however indirectly.
-    placed = crowded.where("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("key").agg(F.mode("component").alias("main"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    placed = written(placed.join(mixed.select("key", "main"), "key").join(sketches, "node"), "near-mixed")
-    # Sets of similar size are on the same or neighbouring levels, so a level is part of the join's key.
-    level = F.floor(F.log(F.col("n")) / math.log(LEVEL)).cast("int")
-    placed = placed.withColumn("level", level)
-    near = F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level")
-    x, y = placed.where("component <> main").select(*[c for c in placed.columns if c != "level"], near).alias("x"), placed.alias("y")
-    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    unseen = (F.col("x.node") != F.col("x.centre")) & (F.col("y.node") != F.col("y.centre"))
-    late = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.level") == F.col("y.level")) & apart & unseen & _close("x", "y"))
-    late = written(late.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "near-late")
+    late = _late_pairs(crowded.where("size > 2"), found, sets)
     if not late.isEmpty():
-        links = links.unionByName(_verified(late, docs, words))
+        links = links.unionByName(sets.verified(sets.close(late)))
         found = written(components(links, "a", "b"), "near-components")
+    discard(buckets, crowded, stars, late)
+    out = classes.drop("bands").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return written(out, "near-labels")
 
-    # Every row's class is its set, and a class's component its node's.
-    labelled = classes.select(*set_key, "node").join(found, "node", "left").select(*set_key, F.coalesce("component", "node").alias("component"))
-    own = rows.select("doc_id", *set_key)
-    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    out = own.join(labelled, set_key, "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row."""
+    sets = Sets(docs.select("doc_id", "text"), words)
+    labels = components_of(sets, by_id=True)
+    least = labels.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    several = least.where("classes > 1").drop("classes")
+    labels = labels.join(several, "component", "left").select(*SET, F.coalesce("component_id", "least").alias("component_id"))
+    own = sets.rows.select("doc_id", *SET)
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    out = own.join(labels, list(SET), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One document of each group, unchanged; of rows that repeat an id, one. Rows without an id stay."""
-    kept = groups(docs.select("doc_id", "text"), words).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    chosen = docs.join(kept, "doc_id", "left_semi").withColumn("__first", first).where("__first = 1").select(*docs.columns)
-    return chosen.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group of similar texts, unchanged: that with the smallest id."""
+    sets = Sets(docs.select("doc_id", "text"), words)
+    kept = components_of(sets, by_id=False).groupBy("component").agg(F.min(F.struct("least", "place")).alias("first"))
+    kept = kept.select(F.col("first.least").alias("__id"), F.col("first.place").alias("__place"))
+    kept = kept.unionByName(sets.rows.where("n = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("place").alias("__place")).distinct())
+    # Repeated rows are limited to one before they are dealt by id, and the join keeps that dealing.
+    turn = F.row_number().over(Window.partitionBy("__id", "__place").orderBy("__place"))
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__place": place()}).where("__id IS NOT NULL")
+    once = keyed.withColumn("__turn", turn).where("__turn = 1")
+    return once.join(kept, ["__id", "__place"], "left_semi").select(*columns(docs)).unionByName(docs.where("doc_id IS NULL"))
 
 
 _TEXT = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -92,3 +92,59 @@ def test_one_of_each_group_stays(spark):
     rows = [(1, base, "x"), (2, base, "y"), (2, base, "y"), (3, base + " more", "z"), (4, "else", "z"), (4, "else", "z"), (None, base, "n"), (5, None, None)]
     kept = n.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string, kept string"))
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["1", "4", "5", "None"] and kept.columns == ["doc_id", "text", "kept"]
+
+
+def test_an_id_with_two_texts_links_both(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(100)) for c in "ab")
+    near = b.replace("b50 ", "x ")
+    docs = spark.createDataFrame([(7, a), (7, b), (9, near), (3, "some other words"), (7, None)], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in n.groups(docs, 2).collect())
+    assert got == [(3, 2, 3, True), (7, 0, 7, True), (7, 99, 7, True), (7, 99, 7, True), (9, 99, 7, False)]
+    left = sorted((r["doc_id"], r["text"] or "") for r in n.deduplicated(docs, 2).collect())
+    assert left == sorted([(7, a), (7, b), (3, "some other words"), (7, "")])
+
+
+def template(docs, changed=9, seed=4):
+    rng = random.Random(seed)
+    base = [f"t{k}" for k in range(100)]
+    rows = []
+    for i in range(docs):
+        words = list(base)
+        for k in rng.sample(range(100), changed):
+            words[k] = f"v{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_unlike_documents_of_one_template_are_not_all_paired(spark, monkeypatch):
+    rows = template(1500)
+    close = [(10_000 + i, text.replace("t99", "end").replace(" v", " v", 1)) for i, text in rows[:40]]
+    rows += [(i, t) for i, t in close]
+    paired = []
+    real = n.Sets.close
+
+    def counted(self, pairs):
+        paired.append(pairs.count())
+        return real(self, pairs)
+
+    monkeypatch.setattr(n.Sets, "close", counted)
+    got = {tuple(r) for r in n.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()}
+    assert got == brute(rows, 2)
+    assert sum(paired) < 60 * len(rows) < len(rows) ** 2 // 20
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = random.Random(6)
+    for _ in range(300):
+        size = rng.randrange(1, 60)
+        items = rng.sample(range(1000), 2 * size)
+        a = set(items[:size])
+        b = set(a)
+        for k in range(rng.randrange(1 + size // 4)):
+            b.discard(items[k])
+            if rng.random() < 0.5:
+                b.add(items[size + k])
+        large, small = (a, b) if len(a) >= len(b) else (b, a)
+        if not small or 100 * len(a & b) < 80 * len(a | b):
+            continue
+        assert set(sorted(large)[: n.prefix_lengths(len(large))[0]]) & set(sorted(small)[: n.prefix_lengths(len(small))[1]])
