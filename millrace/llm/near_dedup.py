@@ -206,12 +206,17 @@ def _sizes_allow(n: Column, m: Column) -> Column:
     return SIMILAR[1] * F.least(n, m) >= SIMILAR[0] * F.greatest(n, m)
 
 
+def _table(values: list[int]) -> Column:
+    """A constant array, as one literal: thousands of literals would take seconds to make."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
 def _close(a: str, b: str) -> Column:
     """What set sizes and sketches leave possible."""
     both = lambda c: F.col(f"{a}.{c}") + F.col(f"{b}.{c}")
     # Beyond the table's end a whole sketch is full and tells nothing.
-    whole = F.coalesce(F.get(F.lit([most_bits_whole(k) for k in range(WHOLE_TABLE)]), both("n").cast("int")), F.lit(SKETCH_BITS))
-    sampled = F.get(F.lit([most_bits(k) for k in range(2 * SAMPLES + 1)]), both("samples"))
+    whole = F.coalesce(F.get(_table([most_bits_whole(k) for k in range(WHOLE_TABLE)]), both("n").cast("int")), F.lit(SKETCH_BITS))
+    sampled = F.get(_table([most_bits(k) for k in range(2 * SAMPLES + 1)]), both("samples"))
     return _sizes_allow(F.col(f"{a}.n"), F.col(f"{b}.n")) & (_differing(a, b, WHOLE) <= whole) & (_differing(a, b, SAMPLED) <= sampled)
 
 
