@@ -13,8 +13,8 @@ log2(splits of a file) rounds of joins, finds where the chain from offset 0 ente
 pass follows the chain inside each split and reads only records that are reached.
 
 Defined cases: a null page is an empty payload; a null url has no target header; null ids sort
-last and are read back as null; of repeated rows one is the response and the others revisit it; no
-pages give no records. A chain that ends before its file does raises an error.
+last and are read back as null; of repeated rows one is the response and the others revisit it; an url
+of any length is written and read whole; no pages give no records. A chain that ends before its file does raises an error.
 """
 
 from __future__ import annotations
@@ -35,9 +35,14 @@ MIN_REVISIT = 100
 END = "\r\n\r\n"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)")
+#: What the beginning of a field may be.
+START = re.compile(rb"(?:[!-9;-~]*|[!-9;-~]+:[^\r\n]*)\r?\Z")
 #: Bytes of an archive that a task scans at once.
 SPLIT_BYTES = 8 << 20
-MAX_HEADER = 1 << 16
+#: Bytes beyond a split that are read with it, for headers that cross its end; longer ones are read on.
+AHEAD = 1 << 16
+#: Tasks that read splits, at most; beyond it a task reads several.
+MAX_TASKS = 20_000
 #: Decisions for revisits are broadcast up to this many rows of about 100 bytes, else joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -53,7 +58,8 @@ def decisions(pages: DataFrame) -> DataFrame:
     rows = written(pages.select("page_id", F.octet_length("html").alias("n"), F.sha2(F.col("html").cast("binary"), 256).alias("digest")).where(F.col("n") >= MIN_REVISIT), "warc-digests")
     each = rows.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
     shared = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("all")).where("all > 1").drop("all")
-    each = each.join(shared, "digest")
+    shared = written(shared, "warc-shared")
+    each = each.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "digest")
     is_first = F.col("page_id").eqNullSafe(F.col("first"))
     found = each.where(~is_first | (F.col("n") > 1)).select("page_id", "digest", F.col("first").alias("refers_to"), F.when(is_first, F.col("n")).alias("repeats"))
     return written(found, "warc-decisions")
@@ -93,54 +99,96 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
 
 
-def read_range(uri: str, first: int, end: int) -> bytes:
-    """Bytes of a file in any store that Arrow opens."""
+def open_file(uri: str) -> pa.NativeFile:
+    """A file in any store that Arrow opens."""
     uri = re.sub(r"^file:/+", "file:///", uri)
     if "://" not in uri:
         uri = "file://" + uri
     system, path = fs.FileSystem.from_uri(uri)
-    with system.open_input_file(path) as f:
-        end = min(end, f.size())
-        return f.read_at(end - first, first) if end > first else b""
-
-
-def parse_header(data: bytes, at: int) -> tuple[dict[bytes, bytes], int] | None:
-    """(fields by lower-case name, offset of the body) of a record header at `at`, or None."""
-    if not MAGIC.match(data, at):
-        return None
-    end = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
-    if end < 0:
-        return None
-    fields = {}
-    for text in data[at:end].split(b"\r\n")[1:]:
-        m = FIELD.fullmatch(text)
-        if not m:
-            return None
-        fields[m[1].lower()] = m[2]
-    return (fields, end + 4) if fields.get(b"content-length", b"").isdigit() and b"warc-type" in fields else None
+    return system.open_input_file(path)
+
+
+class Part:
+    """Bytes of a file from `base` on; `header` and `body` read further where they have to."""
+
+    def __init__(self, file: pa.NativeFile, base: int, end: int):
+        self.file, self.base, self.size = file, base, file.size()
+        end = min(end, self.size)
+        self.data = file.read_at(end - base, base) if end > base else b""
 
+    def _read_on(self) -> bool:
+        at = self.base + len(self.data)
+        if at >= self.size:
+            return False
+        self.data += self.file.read_at(min(max(AHEAD, len(self.data)), self.size - at), at)
+        return True
 
-def candidates(data: bytes, base: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, successors) in the file of possible records that start before `limit` bytes of `data`."""
-    found = []
-    for m in MAGIC.finditer(data):
-        if m.start() >= limit:
+    def header(self, at: int) -> tuple[dict[bytes, bytes], int] | None:
+        """(fields by lower-case name, offset of the body) of a record header at an offset of the file, or None."""
+        at -= self.base
+        if not MAGIC.match(self.data, at):
+            return None
+        fields: dict[bytes, bytes] = {}
+        line = self.data.index(b"\r\n", at) + 2
+        while True:
+            end = self.data.find(b"\r\n", line)
+            if end < 0:
+                # A line that can't be a field's needs no more bytes.
+                if not START.match(self.data, line) or not self._read_on():
+                    return None
+            elif end == line:
+                break
+            elif m := FIELD.fullmatch(self.data, line, end):
+                fields[m[1].lower()] = m[2]
+                line = end + 2
+            else:
+                return None
+        return (fields, self.base + line + 2) if fields.get(b"content-length", b"").isdigit() and b"warc-type" in fields else None
+
+    def body(self, at: int, size: int) -> bytes:
+        first = at - self.base
+        have = self.data[first : first + size]
+        missing = size - len(have)
+        return have + self.file.read_at(missing, at + len(have)) if missing else have
+
+
+def candidates(part: Part, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, successors) in the file of possible records that start before the offset `limit`."""
+    found, at = [], part.base
+    while m := MAGIC.search(part.data, at - part.base):
+        at = part.base + m.start()
+        if at >= limit:
             break
-        if header := parse_header(data, m.start()):
-            found.append((base + m.start(), base + header[1] + int(header[0][b"content-length"]) + len(END)))
+        if header := part.header(at):
+            found.append((at, header[1] + int(header[0][b"content-length"]) + len(END)))
+        at += 1
     out = np.array(found, dtype=np.int64).reshape(-1, 2)
     return out[:, 0], out[:, 1]
 
 
-def exits(offsets: np.ndarray, successors: np.ndarray, end: int) -> np.ndarray:
-    """For each candidate, where its chain leaves the split; -1 if it leads to no candidate before `end`."""
+def _pointers(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
+    """Index of each candidate's successor among the candidates; its own index if it isn't one."""
     n = len(offsets)
     at = np.searchsorted(offsets, successors)
-    inside = (at < n) & (offsets[np.minimum(at, max(n - 1, 0))] == successors) if n else np.zeros(0, dtype=bool)
-    jump = np.where(inside, at, np.arange(n))
-    while n and (again := jump[jump]).tolist() != jump.tolist():
+    inside = offsets[np.minimum(at, n - 1)] == successors if n else np.zeros(0, dtype=bool)
+    return np.where(inside, at, np.arange(n))
+
+
+def reachable(offsets: np.ndarray, successors: np.ndarray, entry: int) -> np.ndarray:
+    """Indices of the candidates on the chain from `entry`: each jump doubles how far the known ones reach."""
+    known = np.flatnonzero(offsets == entry)
+    jump = _pointers(offsets, successors)
+    while len(more := np.union1d(known, jump[known])) > len(known):
+        known, jump = more, jump[jump]
+    return known
+
+
+def exits(offsets: np.ndarray, successors: np.ndarray, end: int) -> np.ndarray:
+    """For each candidate, where its chain leaves the split; -1 if it leads to no candidate before `end`."""
+    jump = _pointers(offsets, successors)
+    while (again := jump[jump]).tolist() != jump.tolist():
         jump = again
-    out = successors[jump] if n else successors
+    out = successors[jump]
     return np.where(out >= end, out, -1)
 
 
@@ -151,15 +199,26 @@ def _splits(spark: SparkSession, path: str, split_bytes: int) -> DataFrame:
     return files.select("path", "length", F.explode(numbers).alias("split"))
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """One task for each row, as the rows stand for splits to be read; beyond MAX_TASKS rows by a hash."""
+    n = rows.count()
+    number = F.row_number().over(Window.orderBy(*keys)) - 1 if n <= MAX_TASKS else F.pmod(F.xxhash64(*keys), F.lit(MAX_TASKS))
+    return rows.withColumn("task", number.cast("int")).repartitionById(min(max(1, n), MAX_TASKS), F.col("task")).drop("task")
+
+
 def chain_entries(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(path, length, entry): the offset at which the chain from each file's start enters each split."""
+    """(path, length, entry): the offset at which the chain from each file's start enters each split.
+
+    A file that fits in one split is entered at its start alone, so only longer files are scanned for it.
+    """
     splits = written(_splits(spark, path, split_bytes), "warc-splits")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 first, end = r["split"] * split_bytes, min((r["split"] + 1) * split_bytes, r["length"])
-                offsets, successors = candidates(read_range(r["path"], first, end + MAX_HEADER), first, end - first)
+                with open_file(r["path"]) as file:
+                    offsets, successors = candidates(Part(file, first, end + AHEAD), end)
                 out = exits(offsets, successors, end)
                 yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * len(out), pa.string()), pa.array(offsets), pa.array(out)], names=["path", "at", "exit"])
 
@@ -167,7 +226,7 @@ def chain_entries(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
     most = splits.agg(F.max("split")).first()[0]
     if not most:
         return starts
-    jumps = written(arrow_map(splits, links, "path string, at bigint, exit bigint"), "warc-links")
+    jumps = written(arrow_map(_dealt(splits.where(F.col("length") > split_bytes), "path", "split"), links, "path string, at bigint, exit bigint"), "warc-links")
     reached, hops = starts, 1
     while hops <= most:
         step = reached.join(jumps, (reached["path"] == jumps["path"]) & (F.col("entry") == F.col("at")))
@@ -191,19 +250,18 @@ def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                first, at = r["entry"] // split_bytes * split_bytes, r["entry"]
-                end = min(first + split_bytes, r["length"])
-                data = read_range(r["path"], at, end + MAX_HEADER)
-                base, out = at, []
-                while at < end:
-                    header = parse_header(data, at - base)
-                    if header is None:
-                        raise ValueError(f"{r['path']}: no record at offset {at}, where the one before it ends")
-                    fields, start = header
+                end = min((r["entry"] // split_bytes + 1) * split_bytes, r["length"])
+                file = open_file(r["path"])
+                part, out = Part(file, r["entry"], end + AHEAD), []
+                offsets, successors = candidates(part, end)
+                chain = reachable(offsets, successors, r["entry"])
+                left = int(successors[chain[-1]]) if len(chain) else r["entry"]
+                if left < end or left > r["length"]:
+                    raise ValueError(f"{r['path']}: no record at offset {left}, where the one before it ends")
+                for at in offsets[chain].tolist():
+                    fields, start = part.header(at)
                     size = int(fields[b"content-length"])
-                    body = data[start : start + size]
-                    if len(body) < size:
-                        body += read_range(r["path"], base + start + len(body), base + start + size)
+                    body = part.body(start, size)
                     kind = fields[b"warc-type"].decode()
                     digest = hashlib.sha256(body).hexdigest()
                     if kind == "revisit":
@@ -212,14 +270,15 @@ def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
                         raise ValueError(f"{r['path']}: the payload at offset {at} doesn't have its digest")
                     row = (number(fields.get(b"warc-record-id")), size, digest, kind, number(fields.get(b"warc-refers-to")))
                     out.append((*row, fields.get(b"warc-target-uri", b"").decode("utf-8", "replace"), body) if payloads else row)
-                    at = base + start + int(fields[b"content-length"]) + len(END)
+                file.close()
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
                 names = schema.replace(",", "").split()[::2]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
     schema += ", url string, payload binary" if payloads else ""
-    return arrow_map(chain_entries(spark, path, split_bytes), records, schema)
+    entries = written(chain_entries(spark, path, split_bytes), "warc-entries")
+    return arrow_map(_dealt(entries, "path", "entry"), records, schema)
 
 
 def write_and_read(pages: DataFrame, path: str | None = None) -> DataFrame:

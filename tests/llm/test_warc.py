@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 import fixtures
@@ -39,3 +40,19 @@ def test_broken_archive_raises(spark, tmp_path):
     (tmp_path / "a" / "part-0").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabcd\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
     with pytest.raises(Exception, match="no record at offset"):
         warc.read_archives(spark, f"file://{tmp_path}/a").collect()
+
+
+@pytest.mark.parametrize("split_bytes", [5000, warc.SPLIT_BYTES])
+def test_headers_of_any_length(spark, tmp_path, split_bytes):
+    url = "http://a/" + "p" * 150_000
+    pages = spark.createDataFrame([(k, url if k % 3 else "u", f"{k}" * 3000) for k in range(9)], "page_id bigint, url string, html string")
+    warc.write_archives(pages.coalesce(1), path := f"file://{tmp_path}/archives")
+    rows = warc.read_archives(spark, path, split_bytes, payloads=True)
+    assert split_bytes > 5000 or rows.rdd.getNumPartitions() > 4
+    assert {(r["page_id"], r["url"]) for r in rows.collect()} == {(k, url if k % 3 else "u") for k in range(9)}
+
+
+def test_pointer_jumping_reaches_the_chain_only():
+    offsets, successors = np.array([0, 7, 10, 14, 30, 41, 50]), np.array([10, 30, 30, 999, 41, 60, 60])
+    assert warc.reachable(offsets, successors, 0).tolist() == [0, 2, 4, 5] and warc.reachable(offsets, successors, 8).tolist() == []
+    assert warc.exits(offsets, successors, 60).tolist() == [60, 60, 60, 999, 60, 60, 60]
