@@ -13,8 +13,10 @@ exception positions (2 each), exception distances (4 each). All little-endian.
 Files are written by Spark's text writer, a row of raw bytes per file, so its commit protocol holds
 on any file system; the line separator that it adds is beyond the length in the header.
 
-Rows are dealt to files by ranges of doc_id whose bounds come from the id column alone; a doc_id that
-fills several ranges is dealt among them by a hash of its text, so repeated ids don't meet in one task.
+Rows are dealt to tasks by ranges of doc_id, then of a hash of the text, then of the place in the input, so
+that repeated ids, null ones and even repeated rows don't meet in one task. A task sorts its rows, encodes
+them in order and puts out a file whenever `FILE_IDS` ids have come together, so its memory is bounded by
+a file and its longest document. A file's number is the task's in the upper half and a count in the lower.
 Defined cases: null or empty text is just the end id; null doc_ids come first; repeated rows are
 separate documents; an empty table gives no file and no rows.
 """
@@ -41,8 +43,11 @@ END_ID = 2
 BLOCK = 1024
 PERCENTILES = (0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
 EXCEPTION_BITS = 48
-#: Bytes of input for each file.
-FILE_BYTES = 4 << 20
+#: Bytes of text for each task, and ids after which a file is complete.
+TASK_BYTES = 4 << 20
+FILE_IDS = 1 << 20
+#: Ranges of documents, at most, as the driver holds their bounds; beyond it a task writes more files.
+MAX_TASKS = 50_000
 MAGIC = b"PFORIDS1"
 HEADER = struct.Struct("<8sQQQQQ")
 BLOCK_HEADER = 7
@@ -281,57 +286,53 @@ class TokenFile:
         return unpack_blocks(self.data, self.blocks[block : -(-end // BLOCK) + 1])[first - block * BLOCK : end - block * BLOCK]
 
 
-def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, n_files: int | None = None) -> None:
+def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, n_tasks: int | None = None, file_ids: int = FILE_IDS) -> None:
     """Encode (doc_id, text) and write the files of all documents under `path`."""
     spark = docs.sparkSession
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
-    if n_files is None:
-        planned = int(str(docs.select("doc_id", "text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        n_files = max(1, ceil(planned / FILE_BYTES))
-    shares = [k / n_files for k in range(1, n_files)]
-    bounds = (docs.select(F.percentile_approx("doc_id", shares, 100 * n_files)).first()[0] or []) if shares else []
-    lower = F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    upper = F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    within = F.pmod(F.xxhash64("text"), upper - lower + 1).cast("int")
-    # Null ids come first, in the first file.
-    number = F.when(F.col("doc_id").isNull(), 0).otherwise(F.when(upper > lower, lower + within).otherwise(lower))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(definition.value)
+    texts = docs.select("doc_id", text_bytes().alias("text"))
+    if n_tasks is None:
+        size = texts.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+        n_tasks = min(max(1, ceil(size / TASK_BYTES)), MAX_TASKS)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, task, count = _encoder(definition.value), 0, 0
+        doc_ids: list[int | None] = []
+        lengths: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+        held = 0
+
+        def file() -> pa.RecordBatch:
+            content = pack_file(task << 32 | count, doc_ids, np.concatenate(lengths), np.concatenate(ids))
+            return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], names=["value"])
+
         for batch in batches:
             for first, n in _slices(batch["text"]):
                 part = batch.slice(first, n)
-                ids, lengths = encoder.encode(part["text"])
-                kind = "<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4"
-                ends = np.concatenate([[0], np.cumsum(lengths)]) * int(kind[2])
-                raw = ids.astype(kind).tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], part["number"], pa.array(lengths, pa.int64()), pa.array([raw[s:e] for s, e in zip(ends, ends[1:])], pa.binary()), pa.array([int(kind[2])] * n, pa.int32())],
-                    names=["doc_id", "number", "n", "ids", "bytes"],
-                )
+                some, some_lengths = encoder.encode(part["text"])
+                task = part["task"][0].as_py()
+                doc_ids += part["doc_id"].to_pylist()
+                lengths.append(some_lengths)
+                ids.append(some.astype(np.uint16) if some.max() < 1 << 16 else some)
+                held += len(some)
+                if held >= file_ids:
+                    yield file()
+                    count, held = count + 1, 0
+                    doc_ids, lengths, ids = [], [], []
             pa.default_memory_pool().release_unused()
+        if held:
+            yield file()
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files: dict[int, tuple[list, list, list]] = {}
-        for batch in batches:
-            numbers, doc_ids, lengths, widths = (batch[c].to_pylist() for c in ("number", "doc_id", "n", "bytes"))
-            for k, ids in enumerate(batch["ids"]):
-                file = files.setdefault(numbers[k], ([], [], []))
-                file[0].append(doc_ids[k])
-                file[1].append(lengths[k])
-                file[2].append(np.frombuffer(ids.as_buffer().to_pybytes(), f"<u{widths[k]}"))
-        for at in sorted(files):
-            doc_ids, lengths, ids = files.pop(at)
-            yield pa.RecordBatch.from_arrays([pa.array([pack_file(at, doc_ids, np.array(lengths), np.concatenate(ids))], pa.binary())], names=["value"])
-
-    texts = docs.select("doc_id", number.cast("int").alias("number"), text_bytes().alias("text"))
-    encoded = arrow_map(texts, encode, "doc_id bigint, number int, n bigint, ids binary, bytes int")
-    dealt = encoded.repartitionById(n_files, F.col("number")).sortWithinPartitions("number", F.col("doc_id").asc_nulls_first())
-    arrow_map(dealt, pack, "value binary").select(F.col("value").cast("string")).write.option("lineSep", SEPARATOR).text(path)
-
-
-def _slices(texts: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("place")]
+    keyed = texts.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange(n_tasks, *order).sortWithinPartitions(*order)
+    rows = dealt.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.spark_partition_id().alias("task"), "text")
+    files = arrow_map(rows, pack, "value binary").select(F.col("value").cast("string"))
+    files.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 1).text(path)
+
+
+def _slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Runs of rows with about `limit` bytes each."""
     first = size = 0
     for k, t in enumerate(texts):
@@ -367,13 +368,17 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return arrow_map(files, decode, schema)
 
 
-def write_and_index(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, n_files: int | None = None) -> DataFrame:
+def write_and_index(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, n_tasks: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Write the files, read them back: doc_id, start, n_tokens, ids_crc32 for every row."""
     spark = docs.sparkSession
     path = path or shared_path(spark, "token-ids")
-    write_files(docs, path, tokenizer, n_files)
+    write_files(docs, path, tokenizer, n_tasks, file_ids)
     rows = written(read_files(spark, path), "token-rows")
-    totals = rows.groupBy("file_number").agg(F.sum("n_tokens").alias("n"))  # one row per file
-    before = Window.orderBy("file_number").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("file_number", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("file_start"))
+    # One row per file; the places of files are summed within tasks, and only tasks' totals in one place.
+    files = rows.groupBy("file_number").agg(F.sum("n_tokens").alias("n")).withColumn("task", F.shiftright("file_number", 32))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    tasks = files.groupBy("task").agg(F.sum("n").alias("n"))
+    tasks = tasks.select("task", F.coalesce(F.sum("n").over(before.orderBy("task")), F.lit(0)).alias("task_start"))
+    within = F.coalesce(F.sum("n").over(before.partitionBy("task").orderBy("file_number")), F.lit(0))
+    starts = files.withColumn("within", within).join(tasks, "task").select("file_number", (F.col("task_start") + F.col("within")).alias("file_start"))
     return rows.join(starts, "file_number").select("doc_id", (F.col("file_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

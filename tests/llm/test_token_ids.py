@@ -49,16 +49,21 @@ def test_blocks_are_small():
     assert sum(map(len, t.pack_blocks(ids))) < 1.35 * len(ids)
 
 
-@pytest.mark.parametrize("n_files", [1, 4])
-def test_query_matches_whole_text_encoding(spark, tmp_path, tokenizer, n_files):
-    docs = fixtures.documents() + [{"doc_id": 77, "text": f"same id {k}"} for k in range(40)]
+@pytest.mark.parametrize("n_tasks,file_ids,in_memory", [(None, t.FILE_IDS, False), (4, 200, False), (None, 30, True)])
+def test_query_matches_whole_text_encoding(spark, tmp_path, tokenizer, n_tasks, file_ids, in_memory):
+    docs = fixtures.documents() + [{"doc_id": 77, "text": f"same id {k}"} for k in range(40)] + [{"doc_id": None, "text": f"no id {k % 5}"} for k in range(30)]
     folder = fixtures.write(tmp_path, {"documents": docs}, clashes=True)
-    rows = t.write_and_index(spark.read.parquet(f"{folder}/documents.parquet"), n_files=n_files).collect()
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    if in_memory:
+        frame = spark.createDataFrame([(d["doc_id"], d["text"]) for d in docs], "doc_id bigint, text string")
+    rows = t.write_and_index(frame, path := f"file://{tmp_path}/ids", n_tasks=n_tasks, file_ids=file_ids).collect()
+    if file_ids == 30:
+        assert t.read_files(spark, path).select("file_number").distinct().count() > 100
     rows.sort(key=lambda r: r["start"])
-    assert [r["doc_id"] for r in rows] == sorted(d["doc_id"] for d in docs)
+    assert [r["doc_id"] for r in rows] == sorted((d["doc_id"] for d in docs), key=lambda i: (i is not None, i))
     assert [r["start"] for r in rows] == np.cumsum([0, *(r["n_tokens"] for r in rows)])[:-1].tolist()
     want = []
     for d in docs:
         ids = tokenizer.encode(d["text"] or "", add_special_tokens=False).ids + [t.END_ID]
         want.append((d["doc_id"], len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
-    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows) == sorted(want)
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows), key=repr) == sorted(want, key=repr)
