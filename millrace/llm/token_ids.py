@@ -43,8 +43,10 @@ END_ID = 2
 BLOCK = 1024
 PERCENTILES = (0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
 EXCEPTION_BITS = 48
-#: Bytes of text for each task, and ids after which a file is complete.
-TASK_BYTES = 4 << 20
+#: Bytes of text for each task, bytes encoded at once (many, as every distinct word then costs one look-up),
+#: and ids after which a file is complete.
+TASK_BYTES = 16 << 20
+RUN_BYTES = 16 << 20
 FILE_IDS = 1 << 20
 #: Ranges of documents, at most, as the driver holds their bounds; beyond it a task writes more files.
 MAX_TASKS = 50_000
@@ -55,6 +57,8 @@ BLOCK_HEADER = 7
 CACHE_WORDS = 300_000
 LINE_WORDS = 1000
 PUNCTUATION = ".,;:!?"
+#: A word, with its punctuation at the end as the group.
+TAIL = r"(?s)^.*?([.,;:!?]*)$"
 #: Latin letters that lower-casing turns into letters.
 LATIN = r"^[a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+$"
 #: The part of a pre-tokenizer's pattern that keeps letters, and what is neither letter nor digit, together.
@@ -144,15 +148,8 @@ class Encoder:
             key_of = keys.indices.to_numpy()
             alone = np.zeros(len(keys.dictionary), dtype=bool)
             alone[key_of] = letters.to_numpy(zero_copy_only=False)
-            cut = pc.if_else(letters, pc.binary_length(core), pc.binary_length(words)).to_numpy()
-            tails, tail_of = [""], np.zeros(len(words), dtype=np.int64)
-            number = {"": 0}
-            for k in np.flatnonzero(cut < pc.binary_length(words).to_numpy()).tolist():
-                tail = words[k].as_py().encode()[cut[k] :].decode()
-                if tail not in number:
-                    number[tail] = len(tails)
-                    tails.append(tail)
-                tail_of[k] = number[tail]
+            tail = pc.if_else(letters, pc.replace_substring_regex(words, TAIL, "\\1"), "").dictionary_encode()
+            tails, tail_of = tail.dictionary.to_pylist(), tail.indices.to_numpy()
             pieces = self._ids_of(keys.dictionary.to_pylist(), alone) + self._ids_of(tails, np.zeros(len(tails), dtype=bool))
             segments = np.column_stack([key_of[which], len(alone) + tail_of[which]]).reshape(-1)
             per_word = 2
@@ -307,19 +304,17 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, n_task
             content = pack_file(task << 32 | count, doc_ids, np.concatenate(lengths), np.concatenate(ids))
             return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], names=["value"])
 
-        for batch in batches:
-            for first, n in _slices(batch["text"]):
-                part = batch.slice(first, n)
-                some, some_lengths = encoder.encode(part["text"])
-                task = part["task"][0].as_py()
-                doc_ids += part["doc_id"].to_pylist()
-                lengths.append(some_lengths)
-                ids.append(some.astype(np.uint16) if some.max() < 1 << 16 else some)
-                held += len(some)
-                if held >= file_ids:
-                    yield file()
-                    count, held = count + 1, 0
-                    doc_ids, lengths, ids = [], [], []
+        for part in _runs(batches):
+            some, some_lengths = encoder.encode(part["text"])
+            task = part["task"][0].as_py()
+            doc_ids += part["doc_id"].to_pylist()
+            lengths.append(some_lengths)
+            ids.append(some.astype(np.uint16) if some.max() < 1 << 16 else some)
+            held += len(some)
+            if held >= file_ids:
+                yield file()
+                count, held = count + 1, 0
+                doc_ids, lengths, ids = [], [], []
             pa.default_memory_pool().release_unused()
         if held:
             yield file()
@@ -332,16 +327,20 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, n_task
     files.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 1).text(path)
 
 
-def _slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about `limit` bytes each."""
-    first = size = 0
-    for k, t in enumerate(texts):
-        size += len(t.as_buffer()) if t.is_valid else 0
-        if size >= limit:
-            yield first, k + 1 - first
-            first, size = k + 1, 0
-    if first < len(texts):
-        yield first, len(texts) - first
+def _runs(batches: Iterator[pa.RecordBatch], limit: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of about `limit` bytes of text, or of one longer text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        first = 0
+        for k, n in enumerate(pc.binary_length(batch["text"]).to_pylist()):
+            if size and size + n > limit:
+                yield pa.concat_batches([*held, batch.slice(first, k - first)])
+                held, first, size = [], k, 0
+            size += n
+        held.append(batch.slice(first))
+    if any(len(b) for b in held):
+        yield pa.concat_batches(held)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,7 +50,7 @@ def test_blocks_are_small():
     assert sum(map(len, t.pack_blocks(ids))) < 1.35 * len(ids)
 
 
-@pytest.mark.parametrize("n_tasks,file_ids,in_memory", [(None, t.FILE_IDS, False), (4, 200, False), (None, 30, True)])
+@pytest.mark.parametrize("n_tasks,file_ids,in_memory", [(None, t.FILE_IDS, False), (4, 200, False), (None, t.FILE_IDS, True), (90, 1, True)])
 def test_query_matches_whole_text_encoding(spark, tmp_path, tokenizer, n_tasks, file_ids, in_memory):
     docs = fixtures.documents() + [{"doc_id": 77, "text": f"same id {k}"} for k in range(40)] + [{"doc_id": None, "text": f"no id {k % 5}"} for k in range(30)]
     folder = fixtures.write(tmp_path, {"documents": docs}, clashes=True)
@@ -57,8 +58,7 @@ def test_query_matches_whole_text_encoding(spark, tmp_path, tokenizer, n_tasks,
     if in_memory:
         frame = spark.createDataFrame([(d["doc_id"], d["text"]) for d in docs], "doc_id bigint, text string")
     rows = t.write_and_index(frame, path := f"file://{tmp_path}/ids", n_tasks=n_tasks, file_ids=file_ids).collect()
-    if file_ids == 30:
-        assert t.read_files(spark, path).select("file_number").distinct().count() > 100
+    assert t.read_files(spark, path).select("file_number").distinct().count() == (n_tasks or 1)
     rows.sort(key=lambda r: r["start"])
     assert [r["doc_id"] for r in rows] == sorted((d["doc_id"] for d in docs), key=lambda i: (i is not None, i))
     assert [r["start"] for r in rows] == np.cumsum([0, *(r["n_tokens"] for r in rows)])[:-1].tolist()
@@ -67,3 +67,11 @@ def test_query_matches_whole_text_encoding(spark, tmp_path, tokenizer, n_tasks,
         ids = tokenizer.encode(d["text"] or "", add_special_tokens=False).ids + [t.END_ID]
         want.append((d["doc_id"], len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
     assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows), key=repr) == sorted(want, key=repr)
+
+
+@given(st.lists(st.lists(st.integers(0, 12), max_size=8), max_size=6), st.integers(1, 30))
+def test_runs_hold_all_rows_in_order(sizes, limit):
+    batches = [pa.RecordBatch.from_arrays([pa.array([b"x" * n for n in some], pa.binary())], names=["text"]) for some in sizes]
+    runs = list(t._runs(iter(batches), limit))
+    assert [len(x) for r in runs for x in r["text"].to_pylist()] == [n for some in sizes for n in some]
+    assert all(len(r) and (sum(map(len, r["text"].to_pylist())) <= limit or sum(1 for x in r["text"].to_pylist() if x) == 1) for r in runs)
