@@ -1,15 +1,19 @@
 """Exact top-k inner products over norm-sorted vectors with Cauchy-Schwarz pruning.
 
-Vectors are quantised to integers, and sorted by length, longest first, into range partitions. Queries
-go in blocks of bounded size. A block's first thresholds, each query's k-th best score so far, come
-from the longest vectors of all. Each task then walks its vectors in blocks by descending length:
+Vectors are quantised to integers, and sorted by length, longest first, into range partitions. Each
+query's first threshold, its k-th best score so far, comes from the longest vectors of all, in parallel
+over the queries. Queries are then sorted by the length that a candidate needs to reach their thresholds,
+and written in blocks of bounded size, a file each. The search is a grid of norm ranges and query blocks:
+a task takes its vectors in ranges of bounded size, and for each range reads, one at a time, the blocks
+that need no greater length than the range has. In a cell it walks the vectors by descending length:
 
 * a query is done once its length times the block's greatest length is below its threshold;
 * an orthogonal rotation, from the SVD of a bounded sample, puts most of the length first, so that the
   partial product of the leading coordinates plus the product of the lengths of the rest bounds the score;
 * only pairs whose bound reaches the threshold are multiplied out, exactly, on integers.
 
-Each task returns at most k rows per query, which are merged by query.
+Each cell returns at most k rows per query, which are merged by query. The plan doesn't grow with the blocks;
+the driver handles a name and a length for each.
 
 Defined cases: vectors that are null, or have a null or non-finite component, and rows without an id
 take no part; shorter vectors count as filled up with zeros; rows with the query's own id aren't its
@@ -24,16 +28,18 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, written
+from .common import arrow_map, open_file, shared_path, written
 
 K = 5
 QUERY_EVERY = 50
 SCALE = 256
-#: Queries that are broadcast at once; bounds the broadcast whatever the number of queries.
+#: Queries in a block, and bytes of vectors in a range: what a task holds at once.
 QUERY_BLOCK = 4096
+RANGE_BYTES = 64 << 20
 #: Vectors for the rotation, and the longest ones for the first thresholds.
 SAMPLE = 4096
 CANDIDATE_BLOCK = 1024
@@ -149,59 +155,93 @@ class Search:
         return rows[np.arange(len(rows)) - first < self.k]
 
 
-def search(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _longest(ordered: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = ordered.orderBy(F.col("norm").desc()).limit(SAMPLE).collect()
+    return np.array([r["vec_id"] for r in rows], dtype=np.int64), matrix([bytes(r["v"]) for r in rows], dim), np.array([r["norm"] for r in rows])
+
+
+def _walk(task: Search, ids: np.ndarray, x: np.ndarray, norms: np.ndarray) -> None:
+    for at in range(0, len(ids), CANDIDATE_BLOCK):
+        some = slice(at, at + CANDIDATE_BLOCK)
+        if not task.block(ids[some], x[some], norms[some]):
+            break
+
+
+def query_blocks(ordered: DataFrame, dim: int, turn: np.ndarray, leading: int, k: int, query_every: int, query_block: int) -> DataFrame:
+    """q (number of the query), query_id, v, threshold, need (the least length of a candidate that can gain),
+    written in files of at most `query_block` rows, in the order of `need`."""
+    spark = ordered.sparkSession
+    shared = spark.sparkContext.broadcast((*_longest(ordered, dim), turn, leading))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, norms, turn, leading = shared.value
+        for batch in batches:
+            for at in range(0, len(batch), query_block):
+                part = batch.slice(at, query_block)
+                q = matrix(part["v"].to_pylist(), dim)
+                task = Search(part["vec_id"].to_numpy(), q, turn, leading, k)
+                _walk(task, ids, x, norms)
+                need = np.where(task.norms > 0, task.threshold / np.maximum(task.norms, 1) * (1 - SLACK), np.where(task.threshold > 0, np.inf, -np.inf))
+                yield pa.RecordBatch.from_arrays([part["vec_id"], part["v"], pa.array(task.threshold), pa.array(np.maximum(need, 0.0))], names=["query_id", "v", "threshold", "need"])
+
+    queries = ordered.where(F.col("vec_id") % query_every == 0).select("vec_id", "v").distinct()
+    found = arrow_map(queries, first, "query_id bigint, v binary, threshold double, need double")
+    found = written(found.withColumn("q", F.monotonically_increasing_id()), "topk-queries")
+    path = shared_path(spark, "topk-blocks")
+    by_need = found.repartitionByRange("need", F.xxhash64("q")).sortWithinPartitions("need")
+    by_need.write.option("maxRecordsPerFile", query_block).parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
+def search(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, query_block: int = QUERY_BLOCK, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every query."""
-    spark = vectors.sparkSession
     rows = written(quantised(vectors), "topk-vectors")
     # Ties in length are split by a hash of the id, so that equal vectors don't share a partition.
     tie = F.xxhash64("vec_id")
     ordered = written(rows.repartitionByRange(F.col("norm").desc(), tie).sortWithinPartitions(F.col("norm").desc()), "topk-ordered")
-    is_query = F.col("vec_id") % query_every == 0
-    dim, n_queries = ordered.agg(F.max("dim"), F.count(F.when(is_query, 1))).first()
-    dim = dim or 0
+    dim = ordered.agg(F.max("dim")).first()[0] or 0
     sample = ordered.orderBy(tie).limit(SAMPLE).select("v").collect()
     turn, leading = rotation(matrix([bytes(r["v"]) for r in sample], dim))
-    longest = ordered.orderBy(F.col("norm").desc()).limit(SAMPLE).collect()
-    longest_ids, longest_x = np.array([r["vec_id"] for r in longest], dtype=np.int64), matrix([bytes(r["v"]) for r in longest], dim)
-    longest_norms = np.array([r["norm"] for r in longest])
-    n_blocks = ceil(n_queries / query_block)
-    answers = None
-    for number in range(n_blocks):
-        # About query_block distinct queries; their hash decides the block.
-        chosen = ordered.where(is_query & (F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)) == number)).select("vec_id", "v").distinct().collect()
-        if not chosen:
-            continue
-        chosen.sort(key=lambda r: (r["vec_id"], bytes(r["v"])))
-        ids, q = np.array([r["vec_id"] for r in chosen], dtype=np.int64), matrix([bytes(r["v"]) for r in chosen], dim)
-        first = Search(ids, q, turn, leading, k)
-        for at in range(0, len(longest_ids), CANDIDATE_BLOCK):
-            some = slice(at, at + CANDIDATE_BLOCK)
-            if not first.block(longest_ids[some], longest_x[some], longest_norms[some]):
-                break
-        shared = spark.sparkContext.broadcast((ids, q, turn, leading, first.threshold))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q, turn, leading, threshold = shared.value
-            task = Search(ids, q, turn, leading, k)
-            task.threshold = threshold.copy()
-            for batch in batches:
-                # A file's rows are in order; a task that reads several files meets the order anew.
-                order = np.argsort(-batch["norm"].to_numpy(), kind="stable")
-                norms, vec_ids = batch["norm"].to_numpy()[order], batch["vec_id"].to_numpy()[order]
-                raw = [batch["v"][int(i)].as_py() for i in order]
-                for at in range(0, len(order), CANDIDATE_BLOCK):
-                    some = slice(at, at + CANDIDATE_BLOCK)
-                    if not task.block(vec_ids[some], matrix(raw[some], q.shape[1]), norms[some]):
-                        break
-            out = task.best
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(ids[out[:, 0]]), pa.array(out[:, 1]), pa.array(out[:, 2])], names=["q", "query_id", "score", "vec_id"])
-
-        found = arrow_map(ordered.select("vec_id", "norm", "v"), run, "q bigint, query_id bigint, score bigint, vec_id bigint").withColumn("block", F.lit(number))
-        answers = found if answers is None else answers.unionByName(found)
-    if answers is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("block", "q").orderBy(F.col("score").desc(), "vec_id"))
-    return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    queries = query_blocks(ordered, dim, turn, leading, k, query_every, query_block)
+    # One row for each block.
+    blocks = queries.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min("need").alias("need")).collect()
+    blocks = sorted((r["need"], r["path"]) for r in blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def cells() -> Iterator[pa.RecordBatch]:
+            # A file's rows are in order; a task that reads several files sorts them anew.
+            part = pa.concat_batches(held)
+            norms = part["norm"].to_numpy()
+            order = np.argsort(-norms, kind="stable")
+            x = None
+            for need, path in blocks:
+                if need > norms[order[0]] * (1 + SLACK):
+                    break
+                if x is None:  # ranges that no block needs aren't decoded
+                    x, ids, lengths = matrix(part["v"].take(pa.array(order)).to_pylist(), dim), part["vec_id"].to_numpy()[order], norms[order]
+                with open_file(path) as file:
+                    block = pq.read_table(file).combine_chunks()
+                cell = Search(block["query_id"].to_numpy(), matrix(block["v"].to_pylist(), dim), turn, leading, k)
+                cell.threshold = block["threshold"].to_numpy().copy()
+                _walk(cell, ids, x, lengths)
+                best, numbers = cell.best, block["q"].to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[best[:, 0]]), pa.array(cell.ids[best[:, 0]]), pa.array(best[:, 1]), pa.array(best[:, 2])], names=["q", "query_id", "score", "vec_id"])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= range_bytes:
+                yield from cells()
+                held, size = [], 0
+        if any(len(b) for b in held):
+            yield from cells()
+
+    found = arrow_map(ordered.select("vec_id", "norm", "v"), run, "q bigint, query_id bigint, score bigint, vec_id bigint")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE_SQL = f"""

@@ -25,11 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, shared_path, written
+from .common import arrow_map, open_file, shared_path, written
 
 MIN_REVISIT = 100
 END = "\r\n\r\n"
@@ -99,15 +98,6 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
 
 
-def open_file(uri: str) -> pa.NativeFile:
-    """A file in any store that Arrow opens."""
-    uri = re.sub(r"^file:/+", "file:///", uri)
-    if "://" not in uri:
-        uri = "file://" + uri
-    system, path = fs.FileSystem.from_uri(uri)
-    return system.open_input_file(path)
-
-
 class Part:
     """Bytes of a file from `base` on; `header` and `body` read further where they have to."""
 
