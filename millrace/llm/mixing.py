@@ -6,8 +6,7 @@
    takes the line from 0 to the target. Copies that end within it are taken. The rest, which the
    copy that straddles the target leaves open, is filled in the same order with further copies of
    documents that fit in it, again and again until no document fits, and then one more copy of the
-   document that best fills what is left is taken if that is nearer to the target. Without `fill`
-   (op6_mixing, as its SQL says) there is only that last copy.
+   document that best fills what is left is taken if that is nearer to the target.
 3. The line is cut into blocks of equal length; a copy belongs to the block it starts in. The exact
    numbers of blocks per source are divided among the output shards by a tree: each node deals its
    blocks to its two halves by one multivariate hypergeometric draw.
@@ -15,7 +14,9 @@
    the draws are disjoint and use every block. Inside a shard, copies are ordered by a hash.
 
 The prefix sums are taken within (source, hash bucket) groups and then over bucket totals, so a
-source that holds most rows isn't gathered anywhere. Only totals per source reach the driver.
+source that holds most rows isn't gathered anywhere. Only totals per source reach the driver:
+sources are a pipeline's configuration, and one is a few hundred bytes there. Above `BROADCAST_SOURCES` of
+them, tables of sources are joined by a shuffle.
 
 Defined cases: null or empty text has size 0 and is never taken; a null source is a source; null ids
 are ordered by their text; repeated rows are separate documents; no rows give no rows.
@@ -31,17 +32,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_map, id_hash, row_key, text_bytes, written
+from .common import WORD, arrow_map, columns, id_hash, row_key, text_bytes, written
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
+#: Sources whose tables are broadcast, at most: a few hundred bytes each.
+BROADCAST_SOURCES = 50_000
 BLOCK_WORDS = 1 << 14
 OUTPUT_SHARDS = 16
 SEED = 20240501
 #: Groups that a source's hash order is cut into for the prefix sums; 2**48 hashes in each.
 BUCKET_SHIFT = 48
-#: Sources are configuration and their totals are handled by the driver; beyond this it raises.
-MAX_SOURCES = 1_000_000
 
 
 def targets(sizes: list[int], weights: list[int]) -> list[float]:
@@ -109,7 +110,7 @@ def inner_start() -> Column:
     return F.coalesce(F.sum("size").over(within), F.lit(0))
 
 
-def filled(line: DataFrame, rests: DataFrame) -> DataFrame:
+def filled(line: DataFrame, rests: DataFrame, many: bool) -> DataFrame:
     """(rid, more): for each document that fills a source's rest, the places of its further copies on the line.
 
     Every round takes the open documents that fit in the rest, in hash order, up to the first that no
@@ -119,8 +120,7 @@ def filled(line: DataFrame, rests: DataFrame) -> DataFrame:
     found = None
     state = line.where(F.col("size") > 0).select("source", "bucket", "h", "doc_id", "size", "__key", "rid", "target", F.col("whole").alias("used"))
     while True:
-        # One row per source, and the driver has checked how many sources there are.
-        open_rows = state.join(F.broadcast(rests), same(state, rests, "source")).drop(rests["source"])
+        open_rows = state.join(rests if many else F.broadcast(rests), same(state, rests, "source")).drop(rests["source"])
         open_rows = open_rows.where((F.col("used") < MAX_REPEATS) & (F.col("size") <= F.col("rest")))
         open_rows = written(open_rows, "mix-open")
         starts = bucket_starts(open_rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
@@ -143,7 +143,7 @@ def filled(line: DataFrame, rests: DataFrame) -> DataFrame:
     return written(found.groupBy("rid").agg(F.sort_array(F.collect_list("at")).alias("more")), "mix-more")
 
 
-def plan(docs: DataFrame, shards: int = OUTPUT_SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED, fill: bool = True) -> DataFrame:
+def plan(docs: DataFrame, shards: int = OUTPUT_SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, __key (hash of the whole row)
     and copies, an array of (shard, position within the shard)."""
     spark = docs.sparkSession
@@ -155,9 +155,7 @@ def plan(docs: DataFrame, shards: int = OUTPUT_SHARDS, block_words: int = BLOCK_
         "mix-rows",
     )
     buckets = written(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
-    found = buckets.groupBy("source").agg(F.sum("words").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    found = buckets.groupBy("source").agg(F.sum("words").alias("size")).collect()
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [int(r["size"]) for r in found]
     wanted = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))])
@@ -168,8 +166,9 @@ def plan(docs: DataFrame, shards: int = OUTPUT_SHARDS, block_words: int = BLOCK_
         [(r["source"], s, t, q, *permutation(q, rng), [int(x) for x in ends[:, i]]) for i, (r, s, t, q) in enumerate(zip(found, sizes, wanted, quotas))],
         "source string, source_size bigint, target double, quota bigint, a bigint, b bigint, ends array<bigint>",
     )
+    many = len(found) > BROADCAST_SOURCES
     starts = bucket_starts(buckets)
-    starts = starts.join(sources, same(starts, sources, "source")).drop(sources["source"])
+    starts = starts.join(sources if many else F.broadcast(sources), same(starts, sources, "source")).drop(sources["source"])
     line = rows.withColumn("inner_start", inner_start())
     line = line.join(starts, same(line, starts, "source", "bucket")).drop(starts["source"]).drop(starts["bucket"])
     start = F.col("bucket_start") + F.col("inner_start")
@@ -178,12 +177,9 @@ def plan(docs: DataFrame, shards: int = OUTPUT_SHARDS, block_words: int = BLOCK_
     line = written(line.withColumn("start", start).withColumn("whole", F.when(F.col("size") > 0, whole).otherwise(0)), "mix-line")
     rest_of = lambda rows, words: rows.groupBy("source").agg((F.first("target") - F.sum(words)).alias("rest"))
     none = F.array().cast("array<bigint>")
-    if fill:
-        more = filled(line, written(rest_of(line, F.col("whole") * F.col("size")), "mix-rest"))
-        line = line.join(more.withColumnRenamed("rid", "more_rid"), F.col("rid") == F.col("more_rid"), "left").drop("more_rid")
-        line = line.withColumn("more", F.coalesce("more", none))
-    else:
-        line = line.withColumn("more", none)
+    more = filled(line, written(rest_of(line, F.col("whole") * F.col("size")), "mix-rest"), many)
+    line = line.join(more.withColumnRenamed("rid", "more_rid"), F.col("rid") == F.col("more_rid"), "left").drop("more_rid")
+    line = line.withColumn("more", F.coalesce("more", none))
     used = F.col("whole") + F.size("more")
     rest = rest_of(line, used * F.col("size"))
     gap = F.abs(F.col("rest") - F.col("size"))
@@ -193,8 +189,7 @@ def plan(docs: DataFrame, shards: int = OUTPUT_SHARDS, block_words: int = BLOCK_
         .groupBy("source").agg(F.min(F.struct(gap.alias("gap"), "h", "doc_id", "size", "__key", "rid", F.floor(F.col("target") - F.col("rest")).alias("at"))).alias("best"))
         .select(F.col("source").alias("best_source"), F.col("best.rid").alias("best_rid"), F.col("best.at").alias("best_at"))
     )
-    # One row per source at most, and the driver has checked how many sources there are.
-    line = line.join(F.broadcast(best), line["source"].eqNullSafe(F.col("best_source")), "left")
+    line = line.join(best if many else F.broadcast(best), line["source"].eqNullSafe(F.col("best_source")), "left")
     last = F.when(F.col("best_rid") == F.col("rid"), F.array("best_at")).otherwise(none)
     numbers = F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.array().cast("array<int>"))
     places = F.concat(F.transform(numbers, lambda p: F.col("source_size") * p + F.col("start")), "more", last)
@@ -210,14 +205,14 @@ def plan(docs: DataFrame, shards: int = OUTPUT_SHARDS, block_words: int = BLOCK_
     )
 
 
-def numbered(docs: DataFrame, shards: int = OUTPUT_SHARDS, seed: int = SEED, fill: bool = True) -> DataFrame:
+def numbered(docs: DataFrame, shards: int = OUTPUT_SHARDS, seed: int = SEED) -> DataFrame:
     """The plan as a written table, with the turn of each row among equal rows."""
     same_row = Window.partitionBy("__key").orderBy("__key")
-    return written(plan(docs, shards, seed=seed, fill=fill).withColumn("__nth", F.row_number().over(same_row)), "mix-plan")
+    return written(plan(docs, shards, seed=seed).withColumn("__nth", F.row_number().over(same_row)), "mix-plan")
 
 
-def drawn(docs: DataFrame, planned: DataFrame, *columns: str) -> DataFrame:
-    """Each copy that the shards draw, as a row with `columns` of `docs` and of the draw, in shards, shuffled locally.
+def drawn(docs: DataFrame, planned: DataFrame, *wanted: str | Column) -> DataFrame:
+    """Each copy that the shards draw, as a row with the `wanted` columns of `docs` and of the draw, in shards, shuffled locally.
 
     The draw has __row and __turn (which row of the plan) and __copy (shard and position).
     """
@@ -230,20 +225,17 @@ def drawn(docs: DataFrame, planned: DataFrame, *columns: str) -> DataFrame:
     taken = pairs.withColumn("__copy", F.explode("__copies"))
     # Slices keep the partitions of a shard small; rows of a slice are in shuffled order.
     taken = taken.withColumn("__slice", F.shiftright(F.col("__copy.position"), 56))
-    return taken.repartition(F.col("__copy.shard"), F.col("__slice")).sortWithinPartitions("__copy.shard", "__copy.position").select(*columns)
+    return taken.repartition(F.col("__copy.shard"), F.col("__slice")).sortWithinPartitions("__copy.shard", "__copy.position").select(*wanted)
 
 
 def mixed(docs: DataFrame, shards: int = OUTPUT_SHARDS, seed: int = SEED) -> DataFrame:
     """The mix itself: each taken copy as a row with the columns of `docs`, in shards, shuffled locally."""
-    return drawn(docs, numbered(docs, shards, seed), *docs.columns)
+    return drawn(docs, numbered(docs, shards, seed), *columns(docs))
 
 
 def report(docs: DataFrame, shards: int = OUTPUT_SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row: `taken` is counted in the texts of the drawn mix.
-
-    The mix is the one that `ORACLE_SQL` states, without `fill`.
-    """
-    planned = numbered(docs, shards, seed, fill=False)
+    """doc_id, size, source_size, target, taken for every row: `taken` is counted in the texts of the drawn mix."""
+    planned = numbered(docs, shards, seed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +250,7 @@ def report(docs: DataFrame, shards: int = OUTPUT_SHARDS, seed: int = SEED) -> Da
 
 
 ORACLE_SQL = f"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15) AS BIGINT) AS h
   FROM documents),
@@ -282,10 +274,23 @@ line AS (
 counted AS (
   SELECT *, CASE WHEN size = 0 THEN 0 ELSE CAST(start + size <= target AS INT) + CAST(source_size + start + size <= target AS INT) + CAST(2 * source_size + start + size <= target AS INT) END AS whole
   FROM line),
-rested AS (SELECT *, target - SUM(whole * size) OVER (PARTITION BY source) AS rest FROM counted),
+rested AS (
+  SELECT *, target - SUM(whole * size) OVER (PARTITION BY source) AS rest, ROW_NUMBER() OVER (ORDER BY h, doc_id, size) AS nth_row FROM counted),
+rounds AS (
+  SELECT 0 AS round, doc_id, source, size, h, source_size, target, whole AS used, rest, nth_row FROM rested
+  UNION ALL
+  SELECT round + 1, doc_id, source, size, h, source_size, target, used + CAST(takes AS INT),
+         rest - SUM(CASE WHEN takes THEN size ELSE 0 END) OVER (PARTITION BY source), nth_row
+  FROM (
+    SELECT *, is_open AND before + size <= rest AS takes FROM (
+      SELECT *, bool_or(is_open) OVER () AS goes_on,
+             coalesce(SUM(CASE WHEN is_open THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY nth_row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM (SELECT *, size > 0 AND used < {MAX_REPEATS} AND size <= rest AS is_open FROM rounds) o) b) t
+  WHERE goes_on),
 chosen AS (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY source ORDER BY CASE WHEN size > 0 AND whole < {MAX_REPEATS} AND abs(rest - size) < rest THEN 0 ELSE 1 END, abs(rest - size), h, doc_id, size) AS nth
-  FROM rested)
+  SELECT *, size > 0 AND used < {MAX_REPEATS} AND abs(rest - size) < rest AS better,
+         ROW_NUMBER() OVER (PARTITION BY source ORDER BY CASE WHEN size > 0 AND used < {MAX_REPEATS} AND abs(rest - size) < rest THEN 0 ELSE 1 END, abs(rest - size), h, doc_id, size) AS nth
+  FROM rounds WHERE round = (SELECT MAX(round) FROM rounds))
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(size * (whole + CASE WHEN nth = 1 AND size > 0 AND whole < {MAX_REPEATS} AND abs(rest - size) < rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (used + CASE WHEN nth = 1 AND better THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM chosen"""
