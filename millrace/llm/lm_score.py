@@ -8,9 +8,11 @@ class words + 1), so token probabilities are normalised for seen and unseen toke
 
 The class model is log-bilinear: the vectors of the two tokens before are added, and a class's score is
 the product with its own vector plus a bias. It is trained by noise-contrastive estimation in numpy on
-every position of every training document: every task trains on its partition from the same start,
-and the weighted mean of their parameters is the next start. What tasks emit grows with the corpus; it
-is summed by parameter chunk, and only one model reaches the driver.
+every position of every training document. Documents are dealt by a hash into parts of about `PART_TOKENS`
+tokens, and a part is trained on in the order of that hash, from the same start as all others, so that
+the result doesn't depend on files or partitions; the weighted mean of the parts' parameters is the next
+start. What parts emit grows with the corpus; it is summed by parameter chunk, and only one model
+reaches the driver.
 
 For scoring, batched matrix products give each context's normaliser over all classes, once per context
 and worker. Counts of the `DICTIONARY` most frequent tokens are broadcast, which bounds the size; the
@@ -25,13 +27,14 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_map, crc_of_id, text_bytes, written
+from .common import LOWER, arrow_map, crc_of_id, discard, text_bytes, written
 
 FOLDS, HELD_OUT = 7, 2
 #: Tokens whose counts are broadcast, at most; about 100 bytes each in a worker.
@@ -43,6 +46,7 @@ CONTEXT, SIZE = 2, 32
 NOISE, BATCH, RATE = 64, 1024, 0.15
 #: Documents (one in so many, by hash) in each round of training.
 ROUNDS = (8, 1)
+PART_TOKENS = 1 << 21
 BUFFER = 1 << 16
 FLUSH = 300_000
 CHUNKS = 64
@@ -156,12 +160,12 @@ class Model:
         return (own - self.normalisers[codes]).astype(np.float64)
 
 
-def add_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """`np.add.at` for rows of a matrix, by sorting them."""
+def summed_rows(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, sums of their values): `np.add.at` for rows of a matrix, by sorting them."""
     order = np.argsort(rows, kind="stable")
     line = rows[order]
     first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-    out[line[first]] += np.add.reduceat(values[order], first, axis=0)
+    return line[first], np.add.reduceat(values[order], first, axis=0)
 
 
 class Trainer:
@@ -192,45 +196,64 @@ class Trainer:
         g_data = -1 / (1 + np.exp(np.clip(on_data, -30, 30)))
         g_noise = 1 / (1 + np.exp(-np.clip(on_noise, -30, 30)))
         dq = g_data[:, None] * target[w] + g_noise @ target[noise]
-        grads = [np.zeros_like(first), np.zeros_like(second), np.zeros_like(target), np.zeros_like(bias)]
-        add_rows(grads[0], h1, dq)
-        add_rows(grads[1], h2, dq)
-        add_rows(grads[2], w, g_data[:, None] * q)
-        add_rows(grads[2], noise, g_noise.T @ q)
-        np.add.at(grads[3], w, g_data)
-        np.add.at(grads[3], noise, g_noise.sum(axis=0))
-        for value, grad, square in zip((first, second, target, bias), grads, self.squares):
-            grad /= len(rows)
-            square += grad * grad
-            value -= RATE * grad / np.sqrt(square)
+        on_rows = [
+            summed_rows(h1, dq), summed_rows(h2, dq),
+            summed_rows(np.concatenate([w, noise]), np.concatenate([g_data[:, None] * q, g_noise.T @ q])),
+            summed_rows(np.concatenate([w, noise]), np.concatenate([g_data, g_noise.sum(axis=0)])),
+        ]
+        # Rows that a batch doesn't touch have no gradient, and stay.
+        for value, (at, grad), square in zip((first, second, target, bias), on_rows, self.squares):
+            grad = grad / len(rows)
+            square[at] += grad * grad
+            value[at] -= RATE * grad / np.sqrt(square[at])
 
 
 def with_ends(classes: np.ndarray) -> np.ndarray:
     return np.concatenate([[END] * CONTEXT, classes, [END]]).astype(np.int64)
 
 
-def _train_round(texts: DataFrame, vocabulary, model: Model, one_in: int, seed: int) -> np.ndarray:
-    """The mean of the parameters that the partitions' tasks arrive at, weighted by their examples."""
-    start = texts.sparkSession.sparkContext.broadcast(model)
+def class_lines(texts: DataFrame, vocabulary) -> DataFrame:
+    """(place, line) of a frame with `place` and `text`: the classes of a text's tokens, two bytes each, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(start.value.noise)
-        own.noise = start.value.noise
-        own.load(start.value.parameters())
-        trainer, buffer, held = Trainer(own, seed), [], 0
         for batch in batches:
-            for text in batch["text"]:
-                line = with_ends(vocabulary.value.look_up(tokens(text.as_buffer().to_pybytes()))[1])
+            lines = [with_ends(vocabulary.value.look_up(tokens(t.as_buffer().to_pybytes()))[1]).astype("<u2").tobytes() for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["place"], pa.array(lines, pa.binary())], names=["place", "line"])
+
+    return arrow_map(texts.select("place", "text"), run, "place bigint, line binary")
+
+
+def _train_round(lines: DataFrame, model: Model, parts: int, seed: int) -> np.ndarray:
+    """The mean of the parameters that the parts arrive at, weighted by their examples."""
+    start = lines.sparkSession.sparkContext.broadcast((model.noise, model.parameters()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer, buffer, held, part = None, [], 0, None
+
+        def learned() -> pa.RecordBatch:
+            if held:
+                trainer.learn(np.concatenate(buffer))
+            chunks = np.array_split(trainer.model.parameters().astype("<f4"), CHUNKS)
+            columns = [pa.array(range(CHUNKS), pa.int32()), pa.array([part] * CHUNKS, pa.int32()), pa.array([trainer.seen] * CHUNKS, pa.int64()), pa.array([c.tobytes() for c in chunks], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "part", "weight", "values"])
+
+        for batch in batches:
+            for number, raw in zip(batch["part"].to_pylist(), batch["line"]):
+                if number != part:
+                    if trainer is not None:
+                        yield learned()
+                    own = Model(start.value[0])
+                    own.noise = start.value[0]
+                    own.load(start.value[1].copy())
+                    trainer, buffer, held, part = Trainer(own, seed * 1_000_003 + number), [], 0, number
+                line = np.frombuffer(raw.as_buffer(), dtype="<u2").astype(np.int64)
                 buffer.append(np.column_stack([line[:-2], line[1:-1], line[2:]]))
                 held += len(line) - CONTEXT
                 if held >= BUFFER:
                     trainer.learn(np.concatenate(buffer))
                     buffer, held = [], 0
-        if held:
-            trainer.learn(np.concatenate(buffer))
-        parts = np.array_split(own.parameters().astype("<f4"), CHUNKS)
-        n = CHUNKS if trainer.seen else 0
-        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([trainer.seen] * n, pa.int64()), pa.array([p.tobytes() for p in parts[:n]], pa.binary())], names=["chunk", "weight", "values"])
+        if trainer is not None:
+            yield learned()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
@@ -241,10 +264,12 @@ def _train_round(texts: DataFrame, vocabulary, model: Model, one_in: int, seed:
                 total[1] = total[1] + r["weight"] * np.frombuffer(r["values"], "<f4").astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array([s[1].tobytes() for s in sums.values()], pa.binary())], names=["chunk", "weight", "values"])
 
-    chosen = texts if one_in == 1 else texts.where(F.pmod(F.shiftright("place", 8), F.lit(one_in)) == 0)
-    schema = "chunk int, weight bigint, values binary"
-    trained = arrow_map(chosen.select("text"), run, schema)
-    summed = arrow_map(trained.repartition(CHUNKS, "chunk"), add, schema).collect()
+    dealt = lines.withColumn("part", F.pmod(F.shiftright("place", 16), F.lit(parts)).cast("int"))
+    dealt = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "place").select("part", "line")
+    trained = arrow_map(dealt, run, "chunk int, part int, weight bigint, values binary")
+    # Sums are taken in the order of the parts, so that they are the same again.
+    ordered = trained.repartition(CHUNKS, "chunk").sortWithinPartitions("chunk", "part")
+    summed = arrow_map(ordered, add, "chunk int, weight bigint, values binary").collect()
     if not summed:
         return model.parameters()
     return np.concatenate([np.frombuffer(r["values"], "<f8") / r["weight"] for r in sorted(summed, key=lambda r: r["chunk"])])
@@ -273,9 +298,11 @@ def fit(docs: DataFrame) -> tuple[DataFrame, Vocabulary, Model]:
     vocabulary = Vocabulary(known, total, distinct, {r["k"]: (r["c"], r["n"]) for r in by_bucket})
     model = Model(vocabulary.mass)
     if total:
-        shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+        lines = written(class_lines(texts, docs.sparkSession.sparkContext.broadcast(vocabulary)), "lm-lines")
         for k, one_in in enumerate(ROUNDS):
-            model.load(_train_round(texts, shared, model, one_in, k))
+            chosen = lines if one_in == 1 else lines.where(F.pmod(F.shiftright("place", 8), F.lit(one_in)) == 0)
+            model.load(_train_round(chosen, model, ceil(total / one_in / PART_TOKENS), k))
+        discard(lines)
     return counts, vocabulary, model
 
 

@@ -62,14 +62,60 @@ def test_every_position_is_learned(spark, monkeypatch):
 
     monkeypatch.setattr(L, "arrow_map", in_driver)
     vocabulary = L.Vocabulary([], 0, 0, {})
-    L._train_round(texts, spark.sparkContext.broadcast(vocabulary), L.Model(vocabulary.mass), 1, 0)
+    lines = L.class_lines(texts, spark.sparkContext.broadcast(vocabulary))
+    L._train_round(lines, L.Model(vocabulary.mass), 1, 0)
     assert seen[0] == sum(n + 1 for n in (0, 1, 2, 3, 9, 40))
 
 
+def test_scores_do_not_depend_on_files_or_partitions(spark, monkeypatch):
+    monkeypatch.setattr(L, "PART_TOKENS", 2000)  # several parts
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = {r["doc_id"]: r["score"] for r in L.score(docs.coalesce(1)).collect()}
+    many = {r["doc_id"]: r["score"] for r in L.score(docs.repartition(7, "text")).collect()}
+    assert one.keys() == many.keys() and all(math.isclose(one[i], many[i], rel_tol=1e-5) for i in one)
+
+
+def test_score_matches_brute_force(spark, tmp_path):
+    """Every token's log-probability, from the fitted tables by loops over all classes."""
+    docs = fixtures.documents()[:40] + [{"doc_id": 900, "text": "never seen words \u00e9\u00e8"}]
+    folder = fixtures.write(tmp_path, {"documents": docs})
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    _, vocabulary, model = L.fit(frame)
+    first, second, target = (t.astype(float) for t in model.tables)
+    words = lambda t: (t or "").encode().translate(LOWER).split()
+    train = Counter(w for d in docs if zlib.crc32(str(d["doc_id"]).encode()) % 7 != 2 for w in words(d["text"]))
+    own = {w: k for k, (w, _) in enumerate(sorted(train.items(), key=lambda x: (-x[1], x[0]))[: L.FREQUENT])}
+    shared = {}
+    for w, c in train.items():
+        if w not in own:
+            total = shared.setdefault(L.FREQUENT + zlib.crc32(w[: L.PREFIX]) % L.BUCKETS, [0, 0])
+            total[0], total[1] = total[0] + c, total[1] + 1
+    class_of = lambda w: own.get(w, L.FREQUENT + zlib.crc32(w[: L.PREFIX]) % L.BUCKETS)
+
+    def brute_score(text):
+        line, out = [L.END, L.END] + [class_of(w) for w in words(text)] + [L.END], 0.0
+        tokens = words(text) + [None]
+        for k, w in enumerate(tokens):
+            h2, h1, c = line[k : k + 3]
+            scores = [sum((first[h1][j] + second[h2][j]) * target[x][j] for j in range(L.SIZE)) + float(model.bias[x]) for x in range(L.CLASSES)]
+            top = max(scores)
+            out += (scores[c] - top - math.log(sum(math.exp(x - top) for x in scores))) / math.log(10)
+            if L.FREQUENT <= c < L.END:
+                mass, kinds = shared.get(c, (0, 0))
+                out += math.log10((train[w] + 1) / (mass + kinds + 1))
+        return out
+
+    short = [d for d in docs if len(words(d["text"])) <= 5][:12] + docs[-1:]
+    got = {r["doc_id"]: r["score"] for r in L.score(frame).collect()}
+    for d in short:
+        assert math.isclose(got[d["doc_id"]], brute_score(d["text"]), rel_tol=1e-3, abs_tol=1e-3), d
+
+
 def test_rows_are_added_up():
     rng = np.random.default_rng(1)
     rows, values = rng.integers(0, 9, 200), rng.normal(size=(200, 3))
     want, got = np.zeros((9, 3)), np.zeros((9, 3))
     np.add.at(want, rows, values)
-    L.add_rows(got, rows, values)
+    at, sums = L.summed_rows(rows, values)
+    got[at] = sums
     assert np.allclose(want, got)
