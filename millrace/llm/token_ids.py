@@ -46,7 +46,7 @@ EXCEPTION_BITS = 48
 #: Bytes of text for each task, bytes encoded at once (many, as every distinct word then costs one look-up),
 #: and ids after which a file is complete.
 TASK_BYTES = 16 << 20
-RUN_BYTES = 16 << 20
+RUN_BYTES = 8 << 20
 FILE_IDS = 1 << 20
 #: Ranges of documents, at most, as the driver holds their bounds; beyond it a task writes more files.
 MAX_TASKS = 50_000
@@ -151,18 +151,20 @@ class Encoder:
             tail = pc.if_else(letters, pc.replace_substring_regex(words, TAIL, "\\1"), "").dictionary_encode()
             tails, tail_of = tail.dictionary.to_pylist(), tail.indices.to_numpy()
             pieces = self._ids_of(keys.dictionary.to_pylist(), alone) + self._ids_of(tails, np.zeros(len(tails), dtype=bool))
-            segments = np.column_stack([key_of[which], len(alone) + tail_of[which]]).reshape(-1)
+            segments = np.column_stack([key_of[which], np.int32(len(alone)) + tail_of[which]]).reshape(-1)
             per_word = 2
         else:
             pieces, segments, per_word = self._ids_of(words.to_pylist(), np.zeros(len(words), dtype=bool)), which, 1
         flat = np.frombuffer(b"".join(pieces), dtype="<u4")
-        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4)])
-        sizes = starts[segments + 1] - starts[segments]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = flat[np.repeat(starts[segments] - ends[:-1], sizes) + np.arange(ends[-1])]
+        # A run's ids number far below 2**31, and narrow indices halve what is held at once.
+        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4)]).astype(np.int32)
+        sizes = (starts[1:] - starts[:-1])[segments]
+        ends = np.concatenate([np.zeros(1, dtype=np.int32), np.cumsum(sizes, dtype=np.int32)])
+        at = np.repeat(starts[segments] - ends[:-1], sizes)
+        at += np.arange(ends[-1], dtype=np.int32)
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        bounds = ends[per_word * (offsets[1:] - offsets[0])]
-        return np.insert(ids, bounds, END_ID).astype(np.uint32), np.diff(bounds, prepend=0) + 1
+        bounds = ends[per_word * (offsets[1:] - offsets[0])].astype(np.int64)
+        return np.insert(flat[at], bounds, END_ID).astype(np.uint32), np.diff(bounds, prepend=0) + 1
 
 
 _encoders: dict[int, Encoder] = {}
