@@ -5,9 +5,11 @@ by single blanks. In UTF-8 that is a byte table and a split, so no character is
 `window` consecutive words of an item, or the whole item if it is shorter. Each document is scanned
 once; hits come back as word positions and as character offsets of the original text.
 
-The automaton is broadcast, so the benchmark's size is checked first: beyond `MAX_BENCHMARK_BYTES`
-the items are dealt into as many groups as needed and the documents are scanned once for each group,
-with the hits carried along in a written table.
+The benchmark's size is checked first. Its text is broadcast, and every worker builds the automaton once.
+Beyond `MAX_BENCHMARK_BYTES` that would not fit in a worker's memory, so the items are dealt into several
+automata, and a worker builds one after the other for every `CHUNK_BYTES` of documents: the documents are
+still read once. Only beyond `PASS_BYTES`, too much to broadcast, are there several passes, with the hits
+carried along in a written table.
 
 Defined cases: null or empty text has no words and no hits; items without words never occur; an
 item with a null id takes part in hits but has no id to report; repeated items count once.
@@ -26,13 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, arrow_map, text_bytes, written
+from .common import LOWER, arrow_map, columns, text_bytes, written
 
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
 ONE_IN = 20
 #: Text of the benchmark in one automaton; about 100 times as much memory at most.
 MAX_BENCHMARK_BYTES = 1 << 20
+#: Text of documents that is held while one automaton after the other scans it.
+CHUNK_BYTES = 64 << 20
+#: Text of the benchmark that is broadcast at once.
+PASS_BYTES = 64 << 20
 WORD_BYTES = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(128, 256))
 NORMAL = bytes(c if c in WORD_BYTES else 0x20 for c in LOWER)
 RUN = re.compile(rb"[^ ]+")
@@ -99,38 +105,67 @@ def spans_of(text: bytes, hits: set[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _groups(bench: DataFrame, limit: int) -> list[Column]:
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = ceil(size / limit)
-    # An item is in one group by its text, so that repeated items meet.
-    return [F.pmod(F.xxhash64("text"), F.lit(n)) == k for k in range(n)]
+def dealt(items: list[tuple[int | None, bytes]], limit: int) -> list[list[tuple[int | None, bytes]]]:
+    """The items in groups of up to `limit` bytes of text, or of one longer item."""
+    out: list[list[tuple[int | None, bytes]]] = [[]]
+    size = 0
+    for item in items:
+        if out[-1] and size + len(item[1]) > limit:
+            out.append([])
+            size = 0
+        out[-1].append(item)
+        size += len(item[1])
+    return out
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
-def annotate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, limit: int = MAX_BENCHMARK_BYTES) -> DataFrame:
-    """The documents with __n_words, __hits (word positions) and __items (ids), each sorted."""
+def annotate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, limit: int = MAX_BENCHMARK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The documents with __n_words, __hits (word positions), __items (ids), each sorted, and __spans (`spans_of` the hits)."""
     spark = docs.sparkSession
-    out = docs.select("*", F.lit(0).cast("bigint").alias("__n_words"), F.array().cast("array<int>").alias("__hits"), F.array().cast("array<bigint>").alias("__items"))
-    passes = _groups(bench, limit) or [F.lit(False)]
-    for k, chosen in enumerate(passes):
-        rows = bench.where(chosen).select("item_id", text_bytes().alias("text")).collect()
+    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = max(1, ceil(size / pass_bytes))
+    none = [F.lit(0).cast("bigint").alias("__n_words"), F.array().cast("array<int>").alias("__hits"), F.array().cast("array<bigint>").alias("__items"), F.lit("").alias("__spans")]
+    out = docs.select(*columns(docs), *none)
+    for k in range(passes):
+        rows = bench.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).select("item_id", text_bytes().alias("text")).collect()
         items = spark.sparkContext.broadcast([(r["item_id"], bytes(r["text"])) for r in rows])
         out = out.withColumn("__bytes", text_bytes())
         schema = T.StructType(out.schema.fields[:-1])
 
         def run(batches: Iterator[pa.RecordBatch], items=items, schema=schema) -> Iterator[pa.RecordBatch]:
-            automaton, ids_of = build(items.value, window)
-            for batch in batches:
-                n_words, all_hits, all_items = [], [], []
-                for text, hits, ids in zip(batch["__bytes"], batch["__hits"], batch["__items"]):
-                    n, new_hits, new_ids = scan(text.as_buffer().to_pybytes(), automaton, ids_of)
-                    n_words.append(n)
-                    all_hits.append(sorted(new_hits.union(hits.as_py())) if new_hits else hits.as_py())
-                    all_items.append(sorted(new_ids.union(ids.as_py())) if new_ids else ids.as_py())
-                columns = batch.columns[:-4] + [pa.array(n_words, pa.int64()), pa.array(all_hits, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+            parts = dealt(items.value, limit)
+            one = build(parts[0], window) if len(parts) == 1 else None
+            for held in _chunks(batches, 0 if one else CHUNK_BYTES):
+                texts = [[t.as_buffer().to_pybytes() for t in batch["__bytes"]] for batch in held]
+                n_words = [[0] * len(b) for b in held]
+                hits = [[set(x) for x in b["__hits"].to_pylist()] for b in held]
+                ids = [[set(x) for x in b["__items"].to_pylist()] for b in held]
+                for part in parts:
+                    automaton, ids_of = one or build(part, window)
+                    for b, some in enumerate(texts):
+                        for i, text in enumerate(some):
+                            n_words[b][i], new_hits, new_ids = scan(text, automaton, ids_of)
+                            hits[b][i] |= new_hits
+                            ids[b][i] |= new_ids
+                for b, batch in enumerate(held):
+                    spans = [",".join(f"{s}-{e}" for s, e in spans_of(t, h)) if h else "" for t, h in zip(texts[b], hits[b])]
+                    found = [pa.array(n_words[b], pa.int64()), pa.array(map(sorted, hits[b]), pa.list_(pa.int32())), pa.array(map(sorted, ids[b]), pa.list_(pa.int64())), pa.array(spans, pa.string())]
+                    yield pa.RecordBatch.from_arrays(batch.columns[:-5] + found, names=schema.fieldNames())
 
         out = arrow_map(out, run, schema)
-        if k + 1 < len(passes):
+        if k + 1 < passes:
             out = written(out, "decontaminate")
     return out
 
@@ -140,47 +175,56 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, limit: int = MAX_BENCHMARK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hit_spans for every row.
+
+    hit_spans has the runs of hit words as start-end, comma-joined, in characters of the original text.
+    """
     ids = F.array_sort(F.transform("__items", lambda x: x.cast("string")))
     n_hit = F.size("__hits").cast("bigint")
     return annotate(docs.select("doc_id", "text"), bench, window, limit).select(
         "doc_id", F.col("__n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), is_contaminated(n_hit, F.col("__n_words")).alias("contaminated"),
+        F.col("__spans").alias("hit_spans"),
     )
 
 
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, unchanged."""
-    return annotate(docs, bench).where(~is_contaminated(F.size("__hits").cast("bigint"), F.col("__n_words"))).select(*docs.columns)
+    return annotate(docs, bench).where(~is_contaminated(F.size("__hits").cast("bigint"), F.col("__n_words"))).select(*columns(docs))
 
 
 def hit_spans(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """doc_id, start, end, matched text of each run of hit words, in characters of the original."""
-    hit = annotate(docs.select("doc_id", "text"), bench).where(F.size("__hits") > 0).select("doc_id", "text", "__hits")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(r["doc_id"], s, e, r["text"][s:e]) for r in batch.to_pylist() for s, e in spans_of(r["text"].encode(), set(r["__hits"]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "start", "end", "match"])
-
-    return arrow_map(hit, run, "doc_id bigint, start bigint, end bigint, match string")
+    hit = annotate(docs.select("doc_id", "text"), bench).where(F.col("__spans") != "")
+    ends = F.split("span", "-")
+    found = hit.select("doc_id", "text", F.explode(F.split("__spans", ",")).alias("span"))
+    found = found.select("doc_id", "text", ends[0].cast("bigint").alias("start"), ends[1].cast("bigint").alias("end"))
+    return found.select("doc_id", "start", "end", F.expr("substring(text, int(start) + 1, int(end - start))").alias("match"))
 
 
 _UPPER, _LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORDS = f"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWERED}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_WORD, _NORMAL = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'", f"translate(text, '{_UPPER}', '{_LOWERED}')"
+_WORDS = f"regexp_extract_all({_NORMAL}, {_WORD})"
 ORACLE_SQL = f"""
 WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
 windows AS (
   SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS n, array_to_string(w[i:i + least(len(w), {WINDOW}) - 1], ' ') AS gram
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {WINDOW} + 1, 1) + 1)) AS i FROM items WHERE len(w) > 0) x),
-docs AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+docs AS (SELECT doc_id, coalesce({_WORDS}, []) AS w, regexp_split_to_array({_NORMAL}, {_WORD}) AS between FROM documents),
 grams AS (
   SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram
   FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs) d, (SELECT DISTINCT n FROM windows) l
   WHERE i + n - 1 <= len(w)),
 found AS (SELECT doc_id, i, n, item_id FROM grams JOIN windows USING (n, gram)),
-hit AS (SELECT doc_id, COUNT(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM found) f) g GROUP BY doc_id),
+places AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM found) f) g),
+hit AS (SELECT doc_id, COUNT(*) AS n_hit FROM places GROUP BY doc_id),
+runs AS (SELECT doc_id, MIN(p) AS a, MAX(p) AS b FROM (SELECT doc_id, p, p - ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM places) q GROUP BY doc_id, g),
+sized AS (SELECT doc_id, list_transform(w, lambda x: length(x)) AS lw, list_transform(between, lambda x: length(x)) AS lb FROM (SELECT DISTINCT * FROM docs) d WHERE doc_id IN (SELECT doc_id FROM hit)),
+spans AS (
+  SELECT doc_id, string_agg(CAST(first AS VARCHAR) || '-' || CAST(last AS VARCHAR), ',' ORDER BY first) AS hit_spans FROM (
+    SELECT doc_id, CAST(list_sum(lb[1:a]) + coalesce(list_sum(lw[1:a - 1]), 0) AS BIGINT) AS first, CAST(list_sum(lb[1:b]) + list_sum(lw[1:b]) AS BIGINT) AS last
+    FROM runs JOIN sized USING (doc_id)) s GROUP BY doc_id),
 named AS (SELECT doc_id, COUNT(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM found GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {ONE_IN} * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {ONE_IN} * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(hit_spans, '') AS hit_spans
+FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN spans USING (doc_id)"""

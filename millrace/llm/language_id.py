@@ -1,15 +1,15 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model per language, orders 1 to `ORDER`, over lower-cased letters with all else folded to one
-blank. N-grams are 64-bit hashes in sorted arrays, one per order, shared by the languages: a row holds
-every language's interpolated log-probability, and a second array the contexts' back-off weights. A
-text's n-grams are hashed, counted and looked up by binary search; the language with the lowest
-cross-entropy per symbol wins. A text is rejected if that lies further above what held-out training
-texts of the language show than their spread allows, or if it has no letter.
+blank. A model holds its own n-grams, 64-bit hashes in a sorted array per order, with their interpolated
+log-probabilities, and its contexts with their back-off weights. A text's n-grams are hashed and counted
+once and looked up in each model by binary search; the language with the lowest cross-entropy per symbol
+wins. A text is rejected if that lies further above what held-out training texts of the language show
+than their spread allows, or if it has no letter.
 
-The classifier is fitted on a bounded sample: per language, windows of up to `SAMPLE_WINDOW`
-characters at hash-chosen places of hash-chosen documents, about `sample_chars(n)` characters in all.
-Scoring reads whole texts.
+The classifier is fitted on a bounded sample: per language, windows at hash-chosen places of hash-chosen
+documents, `MAX_CHARS` characters in about, and `TOTAL_CHARS` for all languages together, with shorter
+windows where there are many. Every language has at least one. Scoring reads whole texts.
 
 Defined cases: null text or text without a letter gives `und`, score 0, and is rejected; so does every
 text if nothing can be learned. Rows with a null lang aren't learned from. Ties go to the language
@@ -28,14 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, crc_of_id
+from .common import arrow_map, columns, crc_of_id, named
 
 ORDER = 4
 UNKNOWN = "und"
 MAX_CHARS = 400_000
-MAX_CELLS = 64_000_000
-SAMPLE_WINDOW = 20_000
-MAX_LANGUAGES = 1000
+TOTAL_CHARS = 16_000_000
+SAMPLE_WINDOW, LEAST_WINDOW = 20_000, 500
+#: Windows that a language's share of the characters is dealt into, at least.
+WINDOWS = 20
 FOLDS, HELD_OUT = 3, 1
 #: One in so many sampled texts calibrates the rejection instead of training.
 CALIBRATION = 5
@@ -45,9 +46,10 @@ CHUNK = 1 << 20
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
 
-def sample_chars(n_languages: int) -> int:
-    """Characters to learn from per language; fewer if there are many, as a model row has a cell for each."""
-    return min(MAX_CHARS, MAX_CELLS // max(1, n_languages) ** 2)
+def sample_size(n_languages: int) -> tuple[int, int]:
+    """(characters to learn from per language, characters of a window)."""
+    chars = min(MAX_CHARS, TOTAL_CHARS // max(1, n_languages))
+    return chars, min(SAMPLE_WINDOW, max(LEAST_WINDOW, chars // WINDOWS))
 
 
 @lru_cache(maxsize=1)
@@ -86,12 +88,32 @@ def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 @dataclass
-class Model:
-    languages: list[str]
+class Table:
+    """One language's arrays by order: sorted n-grams with log-probabilities, sorted contexts with log back-off weights."""
+
     grams: list[np.ndarray]
     logs: list[np.ndarray]
     contexts: list[np.ndarray]
     backoffs: list[np.ndarray]
+
+    def total(self, some: np.ndarray, counts: np.ndarray, before: list[np.ndarray], at: list[np.ndarray], floor: float) -> float:
+        """Log-probability of the n-grams that end at positions `some`, each `counts` times."""
+        out = 0.0
+        for n in range(ORDER, 0, -1):
+            row, found = _find(self.grams[n], at[n][some])
+            out += counts[found] @ self.logs[n][row[found]] if found.any() else 0.0
+            some, counts = some[~found], counts[~found]
+            if not len(some):
+                return out
+            row, known = _find(self.contexts[n], before[n - 1][some])
+            out += counts[known] @ self.backoffs[n][row[known]] if known.any() else 0.0
+        return out + counts.sum() * floor
+
+
+@dataclass
+class Model:
+    languages: list[str]
+    tables: list[Table]
     floor: float
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
@@ -114,25 +136,14 @@ class Model:
         starts = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
         counts = np.diff(np.append(starts, len(top))).astype(np.float64)
         some = order[starts]  # one position for each distinct n-gram
-        out = np.zeros(len(self.languages))
-        for n in range(ORDER, 0, -1):
-            row, found = _find(self.grams[n], at[n][some])
-            if found.any():
-                out += counts[found] @ self.logs[n][row[found]]
-            some, counts = some[~found], counts[~found]
-            if not len(some):
-                return out
-            row, known = _find(self.contexts[n], before[n - 1][some])
-            if known.any():
-                out += counts[known] @ self.backoffs[n][row[known]]
-        return out + counts.sum() * self.floor
+        return np.array([t.total(some, counts, before, at, self.floor) for t in self.tables])
 
 
 def train(texts: dict[str, list[str]]) -> Model:
     """Fit on texts by language."""
     languages = sorted(texts)
     if not languages:
-        return Model([], [], [], [], [], 0.0)
+        return Model([], [], 0.0)
     per_language = []
     for language in languages:
         lines = [symbols(t) for t in texts[language]]
@@ -152,37 +163,29 @@ def train(texts: dict[str, list[str]]) -> Model:
                 lower, first, counts = np.unique(at[n - 1][index], return_index=True, return_counts=True)
                 codes, index = lower, index[first]
         per_language.append(stats)
-    width = len(languages)
     alphabet = len(np.unique(np.concatenate([s[1][0] for s in per_language]))) + 1
-    grams, logs, contexts, backoffs = [np.zeros(0, np.uint64)], [np.zeros((0, width))], [np.zeros(0, np.uint64)], [np.zeros((0, width))]
-    lower_probability = None
+    return Model(languages, [_table(s, 1.0 / alphabet) for s in per_language], -float(np.log(alphabet)))
+
+
+def _table(stats: dict[int, tuple], lowest: float) -> Table:
+    """Interpolated Kneser-Ney probabilities from (n-grams, counts, their contexts, their suffixes) by order."""
+    out = Table([np.zeros(0, np.uint64)], [np.zeros(0)], [np.zeros(0, np.uint64)], [np.zeros(0)])
+    shorter, probability = None, None
     for n in range(1, ORDER + 1):
-        codes, first = np.unique(np.concatenate([s[n][0] for s in per_language]), return_index=True)
-        context_of = np.concatenate([s[n][2] for s in per_language])[first]
-        suffix_of = np.concatenate([s[n][3] for s in per_language])[first]
-        known = np.unique(context_of)
-        probability, weights = np.empty((len(codes), width)), np.ones((len(known), width))
-        row = np.searchsorted(known, context_of)
-        shorter = np.searchsorted(grams[n - 1], suffix_of) if n > 1 else None
-        for k, s in enumerate(per_language):
-            own, counts, own_context, _ = s[n]
-            ones, twos = int((counts == 1).sum()), int((counts == 2).sum())
-            discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-            slot = np.searchsorted(known, own_context)
-            mass = np.bincount(slot, counts, minlength=len(known))
-            kinds = np.bincount(slot, minlength=len(known))
-            seen = mass > 0
-            weights[seen, k] = discount * kinds[seen] / mass[seen]
-            share = np.zeros(len(codes))
-            share[np.searchsorted(codes, own)] = np.maximum(counts - discount, 0) / mass[slot]
-            below = 1.0 / alphabet if n == 1 else lower_probability[shorter, k]
-            probability[:, k] = share + weights[row, k] * below
-        grams.append(codes)
-        logs.append(np.log(probability).astype(np.float32))
-        contexts.append(known)
-        backoffs.append(np.log(weights).astype(np.float32))
-        lower_probability = probability
-    return Model(languages, grams, logs, contexts, backoffs, -float(np.log(alphabet)))
+        codes, counts, context_of, suffix_of = stats[n]
+        ones, twos = int((counts == 1).sum()), int((counts == 2).sum())
+        discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+        contexts, slot = np.unique(context_of, return_inverse=True)
+        mass, kinds = np.bincount(slot, counts, minlength=len(contexts)), np.bincount(slot, minlength=len(contexts))
+        weights = discount * kinds / mass
+        # A seen n-gram's suffix is among the language's shorter ones.
+        below = lowest if n == 1 else probability[np.searchsorted(shorter, suffix_of)]
+        shorter, probability = codes, np.maximum(counts - discount, 0) / mass[slot] + weights[slot] * below
+        out.grams.append(codes)
+        out.logs.append(np.log(probability).astype(np.float32))
+        out.contexts.append(contexts)
+        out.backoffs.append(np.log(weights).astype(np.float32))
+    return out
 
 
 def calibrate(model: Model, texts: dict[str, list[str]]) -> Model:
@@ -215,20 +218,23 @@ def held_out(id_column: str = "doc_id") -> Column:
 def fit(docs: DataFrame) -> Model:
     """Learn from the labelled documents outside the held-out fold."""
     labelled = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    window = F.least(F.length("text"), F.lit(SAMPLE_WINDOW))
-    sizes = labelled.groupBy("lang").agg(F.sum(window).alias("chars")).limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    budget = sample_chars(len(sizes))
-    # Hash places: a document is sampled if its hash is below its language's share.
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, budget / r["chars"])))]) if sizes else None
+    sizes = labelled.groupBy("lang").agg(F.sum(F.least(F.length("text"), F.lit(SAMPLE_WINDOW))).alias("chars"), F.count(F.lit(1)).alias("n")).collect()
+    budget, window = sample_size(len(sizes))
     texts: dict[str, list[str]] = {}
     checks: dict[str, list[str]] = {}
     if sizes:
+        # Hash places: a document is sampled if its hash is below its language's share.
+        share = {r["lang"]: min(1.0, budget / min(r["chars"], r["n"] * window)) for r in sizes}
+        shares = F.broadcast(docs.sparkSession.createDataFrame(list(share.items()), "__lang string, __share double"))
         place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-        start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - SAMPLE_WINDOW + 1, F.lit(1))).cast("int") + 1
-        sample = labelled.where(place < share[F.col("lang")]).select("lang", F.substring(F.col("text"), start, F.lit(SAMPLE_WINDOW)).alias("text"), F.xxhash64("doc_id", "text", F.lit(1)).alias("h"))
-        for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
+        start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - window + 1, F.lit(1))).cast("int") + 1
+        piece = F.substring(F.col("text"), start, F.lit(window)).alias("text")
+        wanted = ["lang", piece, F.xxhash64("doc_id", "text", F.lit(1)).alias("h"), place.alias("place")]
+        sample = labelled.join(shares, F.col("lang") == F.col("__lang")).where(place < F.col("__share")).select(*wanted).collect()
+        if missing := sorted(share.keys() - {r["lang"] for r in sample}):
+            rest = labelled.where(F.col("lang").isin(missing)).select(*wanted)
+            sample += rest.groupBy("lang").agg(F.min_by("text", "place").alias("text"), F.min_by("h", "place").alias("h")).collect()
+        for r in sorted(sample, key=lambda r: (r["lang"], r["h"], r["text"])):
             (checks if r["h"] % CALIBRATION == 0 else texts).setdefault(r["lang"], []).append(r["text"])
         for language, only in checks.items():
             texts.setdefault(language, only)
@@ -245,7 +251,7 @@ def _classified(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, "__lang", "__score", "__accepted"])
 
-    chosen = docs.select(*keep, F.col("text").alias("__text"))
+    chosen = docs.select(*map(named, keep), F.col("text").alias("__text"))
     schema = T.StructType([*chosen.schema.fields[:-1], T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__accepted", T.BooleanType())])
     return arrow_map(chosen, run, schema)
 
@@ -258,4 +264,4 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents whose language is identified, unchanged."""
-    return _classified(docs, fit(docs), docs.columns).where("__accepted").select(*docs.columns)
+    return _classified(docs, fit(docs), docs.columns).where("__accepted").select(*columns(docs))

@@ -5,7 +5,8 @@ key ids of 20 or more characters) and `hex` (24 or more hex digits). Each is the
 non-overlapping matches of its pattern, from which those that are too short are dropped.
 
 Confirmed spans are reported only once the candidate decodes and parses:
-* `jwt`: header and claims are base64url JSON objects, and the header names an algorithm;
+* `jwt`: header and claims are base64url JSON objects, the header names a signing algorithm, and the
+  signature decodes to as many bytes as that algorithm gives;
 * `key`: base64 or hex, bare or in a PEM block, that decodes to DER whose nested lengths all fit
   and whose layout is a private key's (PKCS#1, PKCS#8, SEC1), or to an OpenSSH private key.
 
@@ -38,7 +39,12 @@ ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 HEX = re.compile("[0-9a-f]{24,}")
 #: A word shorter than this has no access key, hex run, token or encoded key in it.
 SHORTEST = 20
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+#: Tried at every start of a run, since a token may follow other dotted text.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{40,}))")
+#: Signature bytes by algorithm; those of RSA have the modulus's size, MIN_RSA or more.
+SIGNATURE_BYTES = {"HS256": (32,), "HS384": (48,), "HS512": (64,), "ES256": (64,), "ES256K": (64,), "ES384": (96,), "ES512": (132,), "EdDSA": (64, 114)}
+RSA_ALGORITHMS = ("RS256", "RS384", "RS512", "PS256", "PS384", "PS512")
+MIN_RSA = 128
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
 HEX_DIGITS = re.compile(r"(?:[0-9A-Fa-f]{2})+")
@@ -128,12 +134,15 @@ def is_private_key(data: bytes | None) -> bool:
     return bool(data) and (is_private_der(data) or is_openssh(data))
 
 
-def is_signed_token(header: str, claims: str) -> bool:
+def is_signed_token(header: str, claims: str, signature: str) -> bool:
     try:
         parts = [json.loads(decode64(x) or b"") for x in (header, claims)]
     except (ValueError, RecursionError):
         return False
-    return all(isinstance(x, dict) for x in parts) and isinstance(parts[0].get("alg"), str)
+    if not all(isinstance(x, dict) for x in parts):
+        return False
+    algorithm, size = parts[0].get("alg"), len(decode64(signature) or b"")
+    return size >= MIN_RSA if algorithm in RSA_ALGORITHMS else isinstance(algorithm, str) and size in SIGNATURE_BYTES.get(algorithm, ())
 
 
 def spans(text: str) -> list[Span]:
@@ -145,7 +154,7 @@ def spans(text: str) -> list[Span]:
     if len(text) >= SHORTEST and max(map(len, text.split()), default=0) >= SHORTEST:
         out += [("access", *m.span()) for m in ACCESS.finditer(text)]
         out += [("hex", *m.span()) for m in HEX.finditer(text)]
-        out += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[1], m[2])]
+        out += [("jwt", m.start(), m.end(3)) for m in JWT.finditer(text) if is_signed_token(m[1], m[2], m[3])]
         for m in ENCODED.finditer(text):
             as_hex = HEX_DIGITS.fullmatch(m[0])
             if as_hex and is_private_key(bytes.fromhex(m[0])) or is_private_key(decode64(m[0])):

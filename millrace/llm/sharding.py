@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_hash
+from .common import columns, id_hash
 
 SHARDS = 16
 #: Slots for each shard, at least; shares of slots then differ by less than one per cent.
@@ -85,7 +85,7 @@ def with_shard(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     table, size = _table(docs.sparkSession, n_shards)
     keyed = docs.withColumn("__at", (id_hash() % size).cast("int"))
     placed = keyed.join(F.broadcast(table), F.col("__at") == F.col("__slot"))
-    return placed.select(*[c for c in docs.columns if c.lower() != "shard"], F.col("__shard").alias("shard"))
+    return placed.select(*columns(docs, without="shard"), F.col("__shard").alias("shard"))
 
 
 def _oracle(n_shards: int) -> str:

@@ -46,7 +46,7 @@ def test_scores_match_the_definition():
     rng = random.Random(4)
     texts = {lang: [fixtures.prose(rng, lang, 30) for _ in range(6)] for lang in ("de", "en")}
     model = L.train(texts)
-    alphabet = len(model.grams[1]) + 1
+    alphabet = len(set().union(*(t.grams[1].tolist() for t in model.tables))) + 1
     for k, lang in enumerate(model.languages):
         p = slow_model([L.symbols(t).tolist() for t in texts[lang]], alphabet)
         for text in ("the und für", "xyz", "Être ÊTRE", texts["de"][0]):
@@ -99,3 +99,57 @@ def test_labels_of_the_held_out_fold_do_not_matter(spark, tmp_path):
     other = fixtures.write(tmp_path / "b", {"documents": docs})
     rows = lambda f: sorted(map(tuple, L.identify(spark.read.parquet(f"{f}/documents.parquet")).collect()), key=repr)
     assert rows(one) == rows(other)
+
+
+def test_many_languages(spark):
+    """More languages than the sample has room for long windows of; one has a single short document."""
+    rng = random.Random(8)
+    letters = [chr(0x4E00 + k) for k in range(4000)]
+    docs = []
+    for k in range(1200):
+        own = letters[3 * k : 3 * k + 3] if k < 1199 else ["q", "x", "z"]
+        for j in range(3 if k else 1):
+            docs.append((10 * k + j, " ".join("".join(rng.choice(own) for _ in range(4)) for _ in range(30)), f"l{k}"))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    model = L.fit(frame)
+    labelled = {lang for i, _, lang in docs if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert set(model.languages) == labelled and L.sample_size(1200)[0] * 1200 <= L.TOTAL_CHARS
+    assert sum(L.predict(model, t)[0] == lang for _, t, lang in docs[:60] if lang in labelled) >= 55
+
+
+def test_query_matches_the_definition(spark, tmp_path):
+    """lang_pred, score and accepted of every row, from plain models of the same sample."""
+    docs = [d for d in fixtures.documents() if len(d["text"] or "") < 900]
+    folder = fixtures.write(tmp_path, {"documents": docs})
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    model = L.fit(frame)
+    train = [d for d in docs if d["lang"] and zlib.crc32(str(d["doc_id"]).encode()) % 3 != 1 and any(c.isalpha() for c in d["text"] or "")]
+    hashes = {(r["doc_id"], r["text"]): r["h"] for r in frame.select("doc_id", "text", L.F.xxhash64("doc_id", "text", L.F.lit(1)).alias("h")).collect()}
+    languages = sorted({d["lang"] for d in train})
+    alphabet = len(set().union(*(t.grams[1].tolist() for t in model.tables))) + 1
+    plain, spread = {}, {}
+
+    def entropy(p, text):
+        line = [0] * (L.ORDER - 1) + L.symbols(text).tolist()
+        return len(line) - L.ORDER, -sum(math.log(p(tuple(line[i - L.ORDER + 1 : i + 1]))) for i in range(L.ORDER, len(line))) / (len(line) - L.ORDER)
+
+    for lang in languages:
+        own = [d for d in train if d["lang"] == lang]
+        checks = [d["text"] for d in own if hashes[d["doc_id"], d["text"]] % L.CALIBRATION == 0]
+        learned = [d["text"] for d in own if hashes[d["doc_id"], d["text"]] % L.CALIBRATION] or checks
+        plain[lang] = slow_model([L.symbols(t).tolist() for t in learned], alphabet)
+        seen = [entropy(plain[lang], t) for t in checks]
+        n = sum(k for k, _ in seen)
+        mean = sum(k * ce for k, ce in seen) / n if n else math.log(alphabet)
+        spread[lang] = mean, max(0.25, math.sqrt(sum(k * (ce - mean) ** 2 for k, ce in seen) / len(seen))) if seen else 1.0
+    for r in L.identify(frame.select("doc_id", "text", "lang")).join(frame.select("doc_id", "text"), "doc_id").collect():
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (r["lang_pred"], r["score"], r["accepted"]) == ("und", 0.0, False)
+            continue
+        ce = {lang: entropy(plain[lang], r["text"]) for lang in languages}
+        n = ce[languages[0]][0]
+        best = min(languages, key=lambda x: ce[x][1])
+        score = 1 / sum(math.exp((ce[best][1] - c) * min(n, 50)) for _, c in ce.values())
+        assert r["lang_pred"] == best and abs(r["score"] - score) < 1e-3
+        above = ce[best][1] - spread[best][0] - L.MARGIN - L.Z * spread[best][1] / math.sqrt(n)
+        assert r["accepted"] == (above <= 0) or abs(above) < 1e-3

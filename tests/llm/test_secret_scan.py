@@ -24,7 +24,13 @@ PUBLIC = tlv(0x30, tlv(0x30, tlv(6, b"\x2a\x86\x48") + tlv(5, b"")) + tlv(3, b"\
 part = lambda b: len(b).to_bytes(4, "big") + b
 OPENSSH = b"openssh-key-v1\0" + part(b"none") + part(b"none") + part(b"") + (1).to_bytes(4, "big") + part(b"p" * 40) + part(b"s" * 90)
 url = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
-JWT = ".".join([url(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()), url(b'{"sub":"1"}'), url(b"sig" * 10)])
+
+
+def jwt(header, size, claims=b'{"sub":"1"}'):
+    return ".".join([url(header if isinstance(header, bytes) else json.dumps(header).encode()), url(claims), url(b"s" * size)])
+
+
+JWT = jwt({"alg": "HS256", "typ": "JWT"}, 32)
 
 
 def kinds(text):
@@ -46,6 +52,33 @@ def test_structures_are_confirmed():
     assert kinds("t " + JWT.replace("eyJ", "eyK", 1)) == [] and kinds("eyJhbGciOiJIUzI1NiJ9.bm90IGpzb24.c2ln") == []
 
 
+def test_tokens_need_a_signature_that_fits():
+    for good in (JWT, jwt({"alg": "ES512"}, 132), jwt({"alg": "RS256"}, 256), jwt({"alg": "EdDSA"}, 64), jwt(b'{\n "alg": "HS512"}', 64), jwt(b' {"alg":"HS256"}', 32)):
+        assert kinds(f"x.y {good} z") == [("jwt", good)]
+        assert kinds(f"some.dotted.text-before.{good}") == [("jwt", good)]
+    for bad in (jwt({"alg": "none"}, 0), jwt({"alg": "none"}, 32), jwt({"alg": "HS256"}, 1), jwt({"alg": "HS256"}, 33), jwt({"alg": "RS256"}, 64), jwt({"typ": "JWT"}, 32), jwt({"alg": 5}, 32), jwt({"alg": "HS256"}, 32, b"[1]")):
+        assert kinds(f"t {bad}.") == []
+
+
+def brute_confirmed(text):
+    """Every run of token or base64 characters, cut in every way and decoded by the standard library."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9_.-]+", text):
+        parts = m[0].split(".")
+        for k in range(len(parts) - 2):
+            try:
+                header, claims, signature = (base64.urlsafe_b64decode(x + "=" * (-len(x) % 4)) for x in parts[k : k + 3])
+                good = json.loads(header)["alg"] == "HS256" and isinstance(json.loads(claims), dict) and len(signature) == 32
+            except (ValueError, KeyError, TypeError):
+                continue
+            if good:
+                start = m.start() + sum(len(x) + 1 for x in parts[:k])
+                out.append(("jwt", start, start + len(".".join(parts[k : k + 3]))))
+    known = {base64.b64encode(k).decode() for k in (PKCS1, PKCS8, SEC1, OPENSSH)} | {k.hex() for k in (PKCS1, SEC1)}
+    out += [("key", *m.span()) for m in re.finditer(r"[A-Za-z0-9+/=_-]+", text) if m[0] in known]
+    return sorted(out, key=lambda x: (x[1], s.KINDS.index(x[0])))
+
+
 def brute_base(text):
     """By the definition: all matches of the plain patterns, then those that are too short go."""
     assign = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -65,13 +98,15 @@ def test_base_spans_match_brute_force(text):
 
 def test_query(spark, tmp_path):
     docs = fixtures.documents() + [{"doc_id": 300, "text": f"é {JWT} token=abcdefgh"}]
+    keys = [base64.b64encode(PKCS8).decode(), SEC1.hex(), base64.b64encode(PUBLIC).decode(), jwt({"alg": "none"}, 0), base64.b64encode(OPENSSH).decode() + " a.b." + JWT]
+    docs += [{"doc_id": 301 + k, "text": f"{'long ' * 4000 * (k == 0)}é {x} password: hunter22"} for k, x in enumerate(keys)]
     folder = fixtures.write(tmp_path, {"documents": docs}, clashes=True)
     rows = s.scan(spark.read.parquet(f"{folder}/documents.parquet")).collect()
     want = []
     for d in docs:
         base = brute_base(d["text"] or "")
         n = [sum(k == kind for k, _, _ in base) for kind in s.BASE]
-        want.append((d["doc_id"], *n, hashlib.sha256(s.joined(base).encode()).hexdigest(), s.joined(s.spans(d["text"] or ""))))
+        want.append((d["doc_id"], *n, hashlib.sha256(s.joined(base).encode()).hexdigest(), s.joined(sorted(base + brute_confirmed(d["text"] or ""), key=lambda x: (x[1], s.KINDS.index(x[0]))))))
     assert sorted(map(tuple, rows)) == sorted(want)
     found = s.findings(spark.read.parquet(f"{folder}/documents.parquet").where("doc_id = 300")).collect()
     assert {(r["kind"], r["secret"]) for r in found} == {("jwt", JWT), ("assign", "token=abcdefgh")}
