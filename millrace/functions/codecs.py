@@ -13,7 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMERIC = {"smallint": "smallint", "int": "int", "bigint": "bigint", "float": "float", "double": "double"}
-TIME_PATTERN = r"^\s*(\d{1,2}):(\d{1,2}):(\d{1,2})(?:\s*\(UTC ([+-])(\d{1,2}):(\d{1,2}):(\d{1,2})\))?\s*$"
+#: Fixed format and ranges of a TIME; minutes and seconds of the offset may be left out.
+TIME_PATTERN = r"^(\d{1,2}):(\d{2}):(\d{2})(?: \(UTC ([+-])(\d{1,2})(?::(\d{2}))?(?::(\d{2}))?\))?$"
+LEAST_OFFSET, MOST_OFFSET = -43_200_000, 432_000_000
 
 
 def _checked(value: Column, length: int, kind: str) -> Column:
@@ -22,18 +24,23 @@ def _checked(value: Column, length: int, kind: str) -> Column:
 
 
 def _millis(text: Column, first: int) -> Column:
-    h, m, s = (F.regexp_extract(text, TIME_PATTERN, first + i).try_cast("int") for i in range(3))
+    h, m, s = (F.coalesce(F.regexp_extract(text, TIME_PATTERN, first + i).try_cast("int"), F.lit(0)) for i in range(3))
     return (h * 3600 + m * 60 + s) * 1000
 
 
+def _at_most(text: Column, group: int, most: int) -> Column:
+    return F.regexp_extract(text, TIME_PATTERN, group).try_cast("int") <= most
+
+
 def parse_time(text: Column) -> Column:
-    """`hh:mm:ss` with an optional `(UTC +hh:mm:ss)`; malformed text raises."""
+    """`h:mm:ss` with an optional ` (UTC +h:mm:ss)`; malformed text, and what is out of range, raises."""
     sign = F.when(F.regexp_extract(text, TIME_PATTERN, 4) == "-", -1).otherwise(1)
     offset = F.coalesce(_millis(text, 5) * sign, F.lit(0))
+    in_range = _at_most(text, 1, 23) & _at_most(text, 2, 59) & _at_most(text, 3, 59) & offset.between(LEAST_OFFSET, MOST_OFFSET)
     parsed = F.struct(_millis(text, 1).alias("millis"), offset.alias("offset"))
     bad = F.raise_error(F.concat(F.lit("not a TIME: "), text))
     # raise_error is typed void; the CASE takes the struct's type.
-    return F.when(text.isNull(), None).when(text.rlike(TIME_PATTERN), parsed).otherwise(bad)
+    return F.when(text.isNull(), None).when(text.rlike(TIME_PATTERN) & in_range, parsed).otherwise(bad)
 
 
 def time_sort_key(time: Column) -> Column:
@@ -63,7 +70,7 @@ def parse(text: Column, kind: str) -> Column:
     if kind == "timestamp":
         return F.trim(text).cast("timestamp_ntz")
     if kind == "time":
-        return parse_time(text)
+        return parse_time(F.trim(text))
     raise ValueError(f"unknown type {kind!r}")
 
 

@@ -7,7 +7,7 @@ import sys
 from pyspark.errors import PySparkException
 
 from ..session import local_session
-from .sql import query, result_text
+from .sql import ParseError, query, result_lines
 
 
 def main(sf_dir: str) -> None:
@@ -20,8 +20,9 @@ def main(sf_dir: str) -> None:
         if statement.lower() in ("exit", "quit"):
             break
         try:
-            print(result_text(query(spark, sf_dir, statement)))
-        except PySparkException as error:
+            for row in result_lines(query(spark, sf_dir, statement)):
+                print(row)
+        except (ParseError, PySparkException) as error:
             print(error)
 
 

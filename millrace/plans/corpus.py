@@ -228,6 +228,21 @@ def delete_where(t):
     return dml.delete_where(t("supplier"), predicates.compare("s_acctbal", "<", 0))
 
 
+@operator_query("SELECT r_regionkey, r_name FROM region WHERE FALSE")
+def delete_all(t):
+    return dml.delete_where(t("region"), F.lit(True))
+
+
+@operator_query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT r_regionkey + 100, r_name, r_regionkey FROM region")
+def insert_unique(t):
+    return dml.insert_unique(t("nation"), t("region").select(F.col("r_regionkey") + 100, "r_name", "r_regionkey"), "n_nationkey")
+
+
+@operator_query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey > 20")
+def predicate_inverted(t):
+    return scan.table_scan(t("nation"), ["n_nationkey", "n_name"], [predicates.compare("n_nationkey", predicates.invert("<="), 20)])
+
+
 @operator_query("SELECT COUNT(*) AS n FROM lineitem")
 def count_tuples(t):
     return aggregate.count_tuples(t("lineitem"))
@@ -249,9 +264,9 @@ def bulk_group(t):
     return aggregate.group_aggregate(few, ["l_returnflag"], [Agg("count", "*", "n"), Agg("sum", "l_quantity", "qty", 2)])
 
 
-@operator_query("SELECT column_name, cardinality, low_key, high_key FROM (SELECT 's_suppkey' AS column_name, COUNT(*) AS cardinality, CAST(MIN(s_suppkey) AS VARCHAR) AS low_key, CAST(MAX(s_suppkey) AS VARCHAR) AS high_key FROM supplier UNION ALL SELECT 's_name', COUNT(*), MIN(s_name), MAX(s_name) FROM supplier) s")
+@operator_query("SELECT column_name, cardinality, distinct_values, low_key, high_key FROM (SELECT 's_suppkey' AS column_name, COUNT(*) AS cardinality, COUNT(DISTINCT s_suppkey) AS distinct_values, CAST(MIN(s_suppkey) AS VARCHAR) AS low_key, CAST(MAX(s_suppkey) AS VARCHAR) AS high_key FROM supplier UNION ALL SELECT 's_nationkey', COUNT(*), COUNT(DISTINCT s_nationkey), CAST(MIN(s_nationkey) AS VARCHAR), CAST(MAX(s_nationkey) AS VARCHAR) FROM supplier) s")
 def table_statistics(t):
-    return catalog.statistics(t("supplier"), ["s_suppkey", "s_name"]).select("column_name", "cardinality", "low_key", "high_key")
+    return catalog.statistics(t("supplier"), ["s_suppkey", "s_nationkey"])
 
 
 sql_query("r1", "SELECT li.l_partkey AS l_partkey, li.l_suppkey AS l_suppkey, li.l_quantity AS l_quantity FROM lineitem li WHERE li.l_partkey = 100")

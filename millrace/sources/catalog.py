@@ -42,11 +42,11 @@ def describe(df: DataFrame, unique: tuple[str, ...] = ()) -> dict[str, dict]:
 
 
 def statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Rows, distinct values, low and high key per column, in a single aggregation pass."""
+    """Rows, exact distinct values, low and high key per column, in a single aggregation."""
     columns = columns or df.columns
     one = df.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.approx_count_distinct(c).alias(f"d_{i}") for i, c in enumerate(columns)],
+        *[F.count_distinct(c).alias(f"d_{i}") for i, c in enumerate(columns)],
         *[F.min(c).cast("string").alias(f"lo_{i}") for i, c in enumerate(columns)],
         *[F.max(c).cast("string").alias(f"hi_{i}") for i, c in enumerate(columns)],
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace import operators as ops
 from millrace.functions import codecs
 from millrace.functions.aggregates import Agg
+from millrace.operators import dml
 from millrace.plans import sql
 from millrace.sources import catalog, text_table
 from millrace.streaming import ingest
@@ -140,3 +141,64 @@ def test_stream_ingest(spark, tmp_path):
     stream = ingest.stream_table(spark, SF, events.schema, "events.parquet")
     ingest.ingest(stream, ["event_id", "value"], [ops.compare("value", ">", 10)], str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.where("value > 10").count()
+
+
+def test_newest_version_may_be_empty(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    dml.commit_version(rows, path, 1)
+    dml.commit_version(dml.truncate(rows), path, 2)
+    assert dml.read_version(spark, path).count() == 0 and dml.read_version(spark, path, 1).count() == 2
+    (tmp_path / "t" / "version=00000003").mkdir()  # a write that hasn't finished
+    assert dml.read_version(spark, path).count() == 0
+    with pytest.raises(ValueError):
+        dml.read_version(spark, path, 3)
+    assert dml.drop_table(spark, path)
+    with pytest.raises(ValueError):
+        dml.read_version(spark, path)
+
+
+def test_unique_insert_raises(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    assert dml.insert_unique(rows, spark.createDataFrame([(3, "c")], rows.schema), "k").count() == 3
+    with pytest.raises(ValueError, match="duplicate key"):
+        dml.insert_unique(rows, spark.createDataFrame([(2, "c")], rows.schema), "k")
+
+
+def test_sql_refuses_changes_and_names_faults(spark, tmp_path):
+    from millrace.plans import sql
+
+    spark.createDataFrame([(1, "a"), (2, "b")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    for text in ("INSERT INTO region VALUES (9, 'z')", "DELETE FROM region", "UPDATE region SET r_name = 'x'", "DROP TABLE region", "CREATE TABLE t AS SELECT 1"):
+        with pytest.raises(sql.ParseError, match="no query"):
+            sql.query(spark, str(tmp_path), text)
+    with pytest.raises(sql.ParseError) as fault:
+        sql.query(spark, str(tmp_path), "SELECT r_name\nFROM region WHERE )")
+    assert fault.value.line == 2 and fault.value.column > 1 and fault.value.code
+    rows = sql.query(spark, str(tmp_path), "SELECT r_name FROM region WHERE r_regionkey > 0 AND r_name <> 'q'")
+    assert rows.count() == 2
+    assert sql.same_result(rows, sql.query(spark, str(tmp_path), "SELECT r_name FROM region WHERE r_name <> 'q' AND r_regionkey > 0"))
+    assert not sql.same_result(rows, sql.query(spark, str(tmp_path), "SELECT r_name FROM region"))
+
+
+def test_console_shows_every_row(spark):
+    from millrace.plans import sql
+
+    assert sql.result_text(spark.range(5000)).endswith("\n4999\n5000 rows returned.")
+
+
+def test_contradictions_become_empty_relations(spark):
+    plan = spark.range(9).where("id > 5 AND id > 2 AND false")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation <empty>" in plan
+
+
+@pytest.mark.parametrize("text,millis,offset", [("7:05:09", 25509000, 0), ("23:59:59 (UTC +02)", 86399000, 7200000), ("00:00:00 (UTC -1:30)", 0, -5400000), ("1:00:00 (UTC +01:00:05)", 3600000, 3605000)])
+def test_times(spark, text, millis, offset):
+    got = spark.createDataFrame([(text,)], "t string").select(codecs.parse(F.col("t"), "time").alias("x")).first()["x"]
+    assert (got["millis"], got["offset"]) == (millis, offset)
+
+
+@pytest.mark.parametrize("text", ["24:00:00", "99:99:99", "1:60:00", "1:00:60", "1:2:3", "1:00:00 (UTC -13)", "1:00:00 (UTC 2)", "1:00:00(UTC +2)"])
+def test_times_out_of_range(spark, text):
+    with pytest.raises(Exception, match="not a TIME"):
+        spark.createDataFrame([(text,)], "t string").select(codecs.parse(F.col("t"), "time")).collect()
