@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Every round replaces edges by edges to smaller neighbours and never makes more of them; it ends
-when the edges no longer change, after a few rounds for shallow graphs. Each round's edges are a written
+when only stars are left, after one or two rounds for shallow graphs. Each round's edges are a written
 table, so lineage stays short and a lost executor costs one round's part.
 """
 
@@ -32,17 +32,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node points to one other at most, which points to none: then each points to its component's least."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("points"), F.lit(0).alias("met"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("points"), F.lit(1).alias("met")))
+    nodes = ends.groupBy("node").agg(F.sum("points").alias("points"), F.max("met").alias("met"))
+    return nodes.where("points > 1 OR (points > 0 AND met > 0)").isEmpty()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): each node of an edge with the smallest node that it reaches."""
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    current, seen = written(pairs, "star"), None
-    while True:
-        state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        large = written(_large_star(current), "star")
+    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
+    current = None
+    while current is None or not _settled(current):
+        large = written(_large_star(pairs if current is None else current), "star")
         small = written(_small_star(large), "star")
-        discard(current, large)
-        current, seen = small, state
+        discard(large, *([] if current is None else [current]))
+        current = small
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -221,14 +221,19 @@ def _close(a: str, b: str) -> Column:
 
 
 def _chosen(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """The rows whose id is in a table of distinct ids (one column)."""
-    ids = written(ids.toDF("__id"), "near-ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    """The rows whose id is in a written table of ids (one column), where ids may repeat."""
+    ids = ids.toDF("__id")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    else:
+        ids = written(ids.distinct(), "near-ids")
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     return df.join(ids, F.col(column) == F.col("__id"), "left_semi")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    """The nodes of pairs, each as often as it occurs."""
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
 
 
 class Sets:
@@ -275,12 +280,13 @@ class Sets:
         return out
 
     def texts_of(self, nodes: DataFrame) -> DataFrame:
-        """(node, text) of a table of distinct nodes, written."""
+        """(node, text) of the nodes in a written table, where nodes may repeat; written, each node once."""
         wanted = written(_chosen(self.classes.select("node", "least", F.col("place").alias("at")), "node", nodes), "near-wanted")
-        small = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        n = wanted.count()
+        small = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
         found = self.texts.join(small, (F.col("doc_id") == F.col("least")) & (F.col("place") == F.col("at"))).select("node", "text")
         found = written(found, "near-texts")
-        if found.groupBy("node").count().where("count > 1").isEmpty():
+        if found.count() == n:
             return found
         # Rows that repeat both id and text.
         once = written(found.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
@@ -412,8 +418,10 @@ def components_of(sets: Sets, by_id: bool) -> DataFrame:
     found = written(components(links, "a", "b"), "near-components")
     late = _late_pairs(crowded.where("size > 2"), found, sets)
     if not late.isEmpty():
-        links = links.unionByName(sets.verified(sets.close(late)))
-        found = written(components(links, "a", "b"), "near-components")
+        more = sets.verified(sets.close(late))
+        if not more.isEmpty():
+            stars_so_far = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = written(components(stars_so_far.unionByName(more), "a", "b"), "near-components")
     discard(buckets, crowded, stars, late)
     out = classes.drop("bands").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return written(out, "near-labels")
