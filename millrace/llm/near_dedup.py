@@ -279,6 +279,11 @@ class Sets:
         discard(sketches)
         return out
 
+    def with_sketches(self, members: DataFrame) -> DataFrame:
+        """Members of keys with the sketches of their nodes."""
+        some = self.rows.select(F.col("rid").alias("node"), "samples", *SKETCHES)
+        return members.join(_chosen(some, "node", members.select("node")), "node")
+
     def texts_of(self, nodes: DataFrame) -> DataFrame:
         """(node, text) of the nodes in a written table, where nodes may repeat; written, each node once."""
         wanted = written(_chosen(self.classes.select("node", "least", F.col("place").alias("at")), "node", nodes), "near-wanted")
@@ -317,24 +322,28 @@ class Sets:
 
 
 def _components_apart(members: DataFrame) -> DataFrame:
-    """(key, main, few) of keys whose members are in several components: the largest of them, and whether
-    pairing the components takes at most PAIRED pairs for each member. Only counts meet by key."""
+    """(key, main, work, few) of keys whose members are in several components: the largest of them, the
+    pairs that pairing the components takes, and whether those are at most PAIRED for each member. Only
+    counts meet by key."""
     counts = members.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("all"), F.count_if("early").cast("double").alias("early"))
     main = F.max(F.struct("all", "early", "component")).alias("main")
     keys = counts.groupBy("key").agg(main, F.sum("all").alias("all"), F.sum("early").alias("early"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     work = (F.col("all") - F.col("main.all")) * F.col("early") + F.col("main.all") * (F.col("early") - F.col("main.early"))
     few = work <= PAIRED * (F.col("all") + F.col("early"))
-    return written(keys.select("key", F.col("main.component").alias("main"), few.alias("few")), "near-keys")
+    return written(keys.select("key", F.col("main.component").alias("main"), work.alias("work"), few.alias("few")), "near-keys")
 
 
-def _pairs_apart(members: DataFrame, keys: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of a key in different components, b the smaller set and `early`; the main
-    component's members meet the others' only."""
+def _pairs_apart(members: DataFrame, keys: DataFrame, sets: Sets) -> DataFrame:
+    """Pairs (a, b) of members of a key in different components, b the smaller set and `early`, whose sketches
+    leave possible that they are similar; the main component's members meet the others' only. Sketches are
+    compared where members meet, so pairs that they drop are never put out."""
     placed = members.join(keys.select("key", "main"), "key").withColumn("stray", F.col("component") != F.col("main"))
+    placed = sets.with_sketches(written(placed.select("key", "node", "n", "component", "early", "stray"), "near-meeting"))
     meets = F.explode(F.when(F.col("stray"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("meets")
-    x, y = placed.select("key", "node", "n", "component", meets).alias("x"), placed.where("early").alias("y")
+    sketch = ["samples", *SKETCHES]
+    x, y = placed.select("key", "node", "n", "component", *sketch, meets).alias("x"), placed.where("early").alias("y")
     larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-    apart = (F.col("x.component") != F.col("y.component")) & larger & _sizes_allow(F.col("x.n"), F.col("y.n"))
+    apart = (F.col("x.component") != F.col("y.component")) & larger & _close("x", "y")
     found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.meets") == F.col("y.stray")) & apart)
     return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
@@ -383,23 +392,43 @@ def _rare_items(nodes: DataFrame, sets: Sets) -> DataFrame:
     return out
 
 
+def _common_pairs(bands: DataFrame, items: DataFrame, sets: Sets) -> DataFrame:
+    """Pairs (a, b) of nodes that share a band and an item, of crowded items (key, node, n, component, early).
+
+    A pair may share many items, so a band's nodes meet once by the band alone, unless it takes fewer
+    comparisons that they meet by band and item."""
+    shared = items.join(bands.select("node", F.col("key").alias("band")), "node").withColumn("key", F.xxhash64("key", "band"))
+    shared = written(shared, "near-common")
+    whole = shared.groupBy(F.col("band").alias("key"), "node").agg(F.first("n").alias("n"), F.first("component").alias("component")).withColumn("early", F.lit(True))
+    whole = written(whole, "near-common")
+    by_item, by_band = _components_apart(shared), _components_apart(whole)
+    bands_of = shared.groupBy("key").agg(F.first("band").alias("band"))
+    split = by_item.join(bands_of, "key").groupBy("band").agg(F.sum("work").alias("split"))
+    choice = by_band.join(split, F.col("key") == F.col("band")).select("key", "main", (F.col("work") <= F.col("split")).alias("once"))
+    choice = written(choice, "near-choice")
+    pairs = _pairs_apart(whole, choice.where("once"), sets)
+    apart = choice.where("NOT once")
+    if apart.isEmpty():
+        return pairs
+    return pairs.unionByName(_pairs_apart(shared.join(apart.select(F.col("key").alias("band")), "band"), by_item, sets))
+
+
 def _late_pairs(members: DataFrame, found: DataFrame, sets: Sets) -> DataFrame:
-    """Pairs (a, b) of nodes that share a band and that no link connects yet, however indirectly."""
+    """Pairs (a, b) of nodes that share a band and that no link connects yet, however indirectly, as far as
+    their sketches leave them possible."""
     placed = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"), F.lit(True).alias("early"))
     placed = written(placed, "near-placed")
     keys = _components_apart(placed)
-    pairs = _pairs_apart(placed, keys.where("few"))
+    pairs = _pairs_apart(placed, keys.where("few"), sets)
     crowded = keys.where("NOT few")
     if not crowded.isEmpty():
         bands = placed.join(crowded.select("key"), "key")
         items = _rare_items(written(bands.select("node", "n", "component").distinct(), "near-nodes"), sets)
         item_keys = _components_apart(items)
-        pairs = pairs.unionByName(_pairs_apart(items, item_keys.where("few")))
+        pairs = pairs.unionByName(_pairs_apart(items, item_keys.where("few"), sets))
         common = item_keys.where("NOT few")
         if not common.isEmpty():
-            shared = items.join(common.select("key"), "key").join(bands.select("node", F.col("key").alias("band")), "node")
-            shared = written(shared.withColumn("key", F.xxhash64("key", "band")).drop("band"), "near-common")
-            pairs = pairs.unionByName(_pairs_apart(shared, _components_apart(shared)))
+            pairs = pairs.unionByName(_common_pairs(bands, items.join(common.select("key"), "key"), sets))
     return written(pairs.distinct(), "near-late")
 
 
@@ -418,7 +447,7 @@ def components_of(sets: Sets, by_id: bool) -> DataFrame:
     found = written(components(links, "a", "b"), "near-components")
     late = _late_pairs(crowded.where("size > 2"), found, sets)
     if not late.isEmpty():
-        more = sets.verified(sets.close(late))
+        more = sets.verified(late)
         if not more.isEmpty():
             stars_so_far = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
             found = written(components(stars_so_far.unionByName(more), "a", "b"), "near-components")
