@@ -15,8 +15,9 @@ component isn't paired with itself. Pairs in one component can't change the resu
 copies costs one comparison for each member. A bucket where that would still take more than `PAIRED`
 pairs for each member, such as many unlike documents of one template, isn't paired at all. Its members
 go into an exact join instead: with the items of every set in one order, rarest first, two similar sets
-share an item among the first few, fewer for the smaller set. Items that are crowded in turn, since
-documents consist of common passages alone, are split by the band keys that their members share.
+share an item among the first few, fewer for the smaller set. Nodes of items that are crowded in turn,
+since documents consist of common passages alone, meet by the bands they share, or by band and item where
+that takes fewer comparisons. Those comparisons, of sketches, can be as many as the square of a group.
 
 A pair of similarity 0.8 shares no band with probability (1 - 0.8**ROWS)**BANDS, below 1e-4, and a more
 similar one far more rarely. Defined cases: null text and text without words have an empty set, linked
