@@ -16,8 +16,8 @@ copies costs one comparison for each member. A bucket where that would still tak
 pairs for each member, such as many unlike documents of one template, isn't paired at all. Its members
 go into an exact join instead: with the items of every set in one order, rarest first, two similar sets
 share an item among the first few, fewer for the smaller set. Nodes of items that are crowded in turn,
-since documents consist of common passages alone, meet by the bands they share, or by band and item where
-that takes fewer comparisons. Those comparisons, of sketches, can be as many as the square of a group.
+since documents consist of common passages alone, meet by those items or by the bands they share,
+whichever takes fewer comparisons. Those comparisons, of sketches, can be as many as the square of a group.
 
 A pair of similarity 0.8 shares no band with probability (1 - 0.8**ROWS)**BANDS, below 1e-4, and a more
 similar one far more rarely. Defined cases: null text and text without words have an empty set, linked
@@ -393,25 +393,28 @@ def _rare_items(nodes: DataFrame, sets: Sets) -> DataFrame:
     return out
 
 
-def _common_pairs(bands: DataFrame, items: DataFrame, sets: Sets) -> DataFrame:
-    """Pairs (a, b) of nodes that share a band and an item, of crowded items (key, node, n, component, early).
+def _total_work(keys: DataFrame) -> float:
+    return keys.agg(F.sum("work")).first()[0] or 0.0
 
-    A pair may share many items, so a band's nodes meet once by the band alone, unless it takes fewer
-    comparisons that they meet by band and item."""
-    shared = items.join(bands.select("node", F.col("key").alias("band")), "node").withColumn("key", F.xxhash64("key", "band"))
-    shared = written(shared, "near-common")
-    whole = shared.groupBy(F.col("band").alias("key"), "node").agg(F.first("n").alias("n"), F.first("component").alias("component")).withColumn("early", F.lit(True))
-    whole = written(whole, "near-common")
-    by_item, by_band = _components_apart(shared), _components_apart(whole)
-    bands_of = shared.groupBy("key").agg(F.first("band").alias("band"))
-    split = by_item.join(bands_of, "key").groupBy("band").agg(F.sum("work").alias("split"))
-    choice = by_band.join(split, F.col("key") == F.col("band")).select("key", "main", (F.col("work") <= F.col("split")).alias("once"))
-    choice = written(choice, "near-choice")
-    pairs = _pairs_apart(whole, choice.where("once"), sets)
-    apart = choice.where("NOT once")
-    if apart.isEmpty():
-        return pairs
-    return pairs.unionByName(_pairs_apart(shared.join(apart.select(F.col("key").alias("band")), "band"), by_item, sets))
+
+def _item_pairs(bands: DataFrame, sets: Sets) -> DataFrame:
+    """Pairs (a, b) of the members (key, node, n, component) of crowded bands, through items of their sets.
+
+    Nodes of crowded items meet by item or by band, whichever takes fewer comparisons of all of them: a pair
+    that shares one of these items and a crowded band meets either way."""
+    one = [F.first(c).alias(c) for c in ("n", "component")]
+    nodes = written(bands.groupBy("node").agg(*one, F.collect_list("key").alias("bands")), "near-nodes")
+    items = _rare_items(nodes, sets)
+    keys = _components_apart(items)
+    common = keys.where("NOT few")
+    if common.isEmpty():
+        return _pairs_apart(items, keys, sets)
+    again = nodes.join(items.join(common.select("key"), "key", "left_semi").select("node").distinct(), "node", "left_semi")
+    again = written(again.select(F.explode("bands").alias("key"), "node", "n", "component", F.lit(True).alias("early")), "near-common")
+    by_band = _components_apart(again)
+    if _total_work(common) <= _total_work(by_band):
+        return _pairs_apart(items, keys, sets)
+    return _pairs_apart(items, keys.where("few"), sets).unionByName(_pairs_apart(again, by_band, sets))
 
 
 def _late_pairs(members: DataFrame, found: DataFrame, sets: Sets) -> DataFrame:
@@ -423,13 +426,7 @@ def _late_pairs(members: DataFrame, found: DataFrame, sets: Sets) -> DataFrame:
     pairs = _pairs_apart(placed, keys.where("few"), sets)
     crowded = keys.where("NOT few")
     if not crowded.isEmpty():
-        bands = placed.join(crowded.select("key"), "key")
-        items = _rare_items(written(bands.select("node", "n", "component").distinct(), "near-nodes"), sets)
-        item_keys = _components_apart(items)
-        pairs = pairs.unionByName(_pairs_apart(items, item_keys.where("few"), sets))
-        common = item_keys.where("NOT few")
-        if not common.isEmpty():
-            pairs = pairs.unionByName(_common_pairs(bands, items.join(common.select("key"), "key"), sets))
+        pairs = pairs.unionByName(_item_pairs(placed.join(crowded.select("key"), "key"), sets))
     return written(pairs.distinct(), "near-late")
 
 

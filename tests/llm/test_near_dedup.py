@@ -133,6 +133,22 @@ def test_unlike_documents_of_one_template_are_not_all_paired(spark, monkeypatch)
     assert sum(paired) < 60 * len(rows) < len(rows) ** 2 // 20
 
 
+@pytest.mark.parametrize("by_band", [False, True])
+def test_documents_of_common_passages_alone(spark, monkeypatch, by_band):
+    """Bands and items are both crowded, and nodes meet by either; a few pairs are similar."""
+    rng = random.Random(7)
+    passages = [" ".join(f"p{p}w{k}" for k in range(8)) for p in range(52)]
+    rows = []
+    for i in range(500):
+        rows.append((i, " ".join(passages[:12] + [passages[p] for p in rng.sample(range(12, 52), 4)])))
+    asked = []
+    # The first total is that of the items, the second that of the bands.
+    monkeypatch.setattr(n, "_total_work", lambda keys: asked.append(keys.count()) or float(by_band == (len(asked) == 1)))
+    got = {tuple(r) for r in n.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()}
+    assert got == brute(rows, 2)
+    assert len(asked) == 2 and asked[0] and 1 < sum(r[3] for r in got) < len(rows)
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = random.Random(6)
     for _ in range(300):
